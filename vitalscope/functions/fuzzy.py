@@ -12,10 +12,13 @@ import difflib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 # Words a Python worker remembers before it starts afresh.
 MEMORY_WORDS = 500_000
 
+_MATCH = StructType([StructField("term", StringType()), StructField("score", DoubleType())])
+
 
 def _letter_counts(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Letter counts per word (a-z, then all other characters) and lengths."""
@@ -127,7 +130,7 @@ def repair_tokens_udf(matcher):
     """array<string> -> array<string> with every matched word replaced."""
     lookup = _Remembered(matcher)
 
-    @arrow_udf("array<string>")
+    @arrow_udf(ArrayType(StringType()))
     def repair(tokens: pa.Array) -> pa.Array:
         words = tokens.flatten().dictionary_encode()
         if len(words) == 0:
@@ -147,7 +150,7 @@ def match_udf(matcher):
     """string -> struct(term, score), null without a match."""
     lookup = _Remembered(matcher)
 
-    @arrow_udf("struct<term:string,score:double>")
+    @arrow_udf(_MATCH)
     def match(words: pa.Array) -> pa.Array:
         found = lookup([w or "" for w in words.to_pylist()])
         rows = [None if m is None else {"term": m[0], "score": m[1]} for m in found]

@@ -46,16 +46,18 @@ def map_tokens(tokens: Column, words: WordMap) -> Column:
 
 def collapse_stutter(source: Column, canonical: Column) -> Column:
     """Drop a token whose canonical form repeats the one before it although
-    the source words differ; a word repeated in the source stays."""
-    pairs = F.arrays_zip(source.alias("source"), canonical.alias("canonical"))
+    the source words differ; a word repeated in the source stays.
 
-    def keep(pair: Column, index: Column) -> Column:
-        repeats = (F.get(canonical, index - 1) == pair["canonical"]) & (
-            F.get(source, index - 1) != pair["source"]
-        )
-        return ~F.coalesce(repeats, F.lit(False))
+    Each pair meets the pair before it, so the work grows with the tokens.
+    """
+    pairs = F.arrays_zip(source.alias("w"), canonical.alias("c"))
+    before = F.concat(F.array(F.lit(None).cast("struct<w:string,c:string>")), pairs)
+
+    def keep(now: Column, previous: Column) -> Column:
+        repeats = (now["c"] == previous["c"]) & (now["w"] != previous["w"])
+        return F.when(~F.coalesce(repeats, F.lit(False)), now["c"])
 
-    return F.transform(F.filter(pairs, keep), lambda pair: pair["canonical"])
+    return F.array_compact(F.zip_with(pairs, before, keep))
 
 
 def drop_words(tokens: Column, words) -> Column:

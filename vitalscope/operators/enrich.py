@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as tx
 from . import sampling
+from .skew import lookup_join
 
 
 def usable_cache(cache: DataFrame, text: str, value: str) -> DataFrame:
@@ -21,15 +22,10 @@ def usable_cache(cache: DataFrame, text: str, value: str) -> DataFrame:
     return filled.groupBy(F.sha2(text, 256).alias("text_key")).agg(F.max(value).alias(value))
 
 
-def from_cache(rows: DataFrame, cache: DataFrame, text: str, value: str, key: list[str]) -> DataFrame:
-    """Rows with the cached value and a status: resumed or pending.
-
-    Digests are looked up once per distinct text; keys with many copies are
-    therefore joined as one row. The copies get the result back in a second
-    join of slim rows that adaptive execution may split.
-    """
+def from_cache(rows: DataFrame, cache: DataFrame, text: str, value: str) -> DataFrame:
+    """Rows with the cached value and a status: resumed or pending."""
     keyed = rows.withColumn("text_key", F.sha2(tx.as_text(F.col(text)), 256))
-    filled = keyed.join(usable_cache(cache, text, value), "text_key", "left")
+    filled = lookup_join(keyed, usable_cache(cache, text, value), "text_key")
     return filled.withColumn(
         "status", F.when(F.col(value).isNotNull(), "resumed").otherwise("pending")
     ).drop("text_key")
@@ -73,7 +69,7 @@ def call_service(
 
 
 def enrich(
-    rows: DataFrame, cache: DataFrame, text: str, value: str, key: list[str], load,
+    rows: DataFrame, cache: DataFrame, text: str, value: str, key: str, load,
     sample: int | None = None, seed: int = 42, batch_rows: int = 32, cache_path: str | None = None,
 ) -> DataFrame:
     """Rows with the value and status resumed, translated or failed.
@@ -82,16 +78,17 @@ def enrich(
     so a run that dies is resumed from what it has written.
     """
     if sample is not None:
-        rows = sampling.sample_exactly(rows, key[0], sample, seed)
-    filled = from_cache(rows, cache, text, value, key)
+        rows = sampling.sample_exactly(rows, key, sample, seed)
+    filled = from_cache(rows, cache, text, value)
     fresh = call_service(pending_texts(filled, text), text, value, load, batch_rows)
     if cache_path:
         fresh.filter(F.col(value).isNotNull()).write.mode("append").parquet(cache_path)
         fresh = rows.sparkSession.read.parquet(cache_path)
     new = usable_cache(fresh, text, value).withColumnRenamed(value, "_new")
     return (
-        filled.withColumn("text_key", F.sha2(tx.as_text(F.col(text)), 256))
-        .join(new, "text_key", "left")
+        lookup_join(
+            filled.withColumn("text_key", F.sha2(tx.as_text(F.col(text)), 256)), new, "text_key"
+        )
         .withColumn(
             "status",
             F.when(F.col("status") == "resumed", "resumed")

@@ -239,7 +239,7 @@ def group_similarity(
         .agg(
             F.sum("n").alias("n_pairs"),
             (F.sum("s") / F.sum("n")).alias("mean_similarity"),
-            F.percentile("similarity", 0.5, "n").alias("median_similarity"),
+            F.percentile("similarity", 0.5, F.col("n")).alias("median_similarity"),
             F.min("similarity").alias("min_similarity"),
             F.max("similarity").alias("max_similarity"),
         )

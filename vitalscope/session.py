@@ -77,7 +77,7 @@ def spread(df: DataFrame) -> DataFrame:
     are. Large scans already have a task per row group and are left alone, so
     no large table is ever shuffled for this.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size > SPREAD_BYTES:
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

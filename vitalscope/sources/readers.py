@@ -11,7 +11,7 @@ from ..schemas import LABELLED, SCORING
 # reads as controls, in byte order; five bytes are unassigned.
 _CP1252_BYTES = "\x80\x82\x83\x84\x85\x86\x87\x88\x89\x8a\x8b\x8c\x8e\x91\x92\x93\x94\x95\x96\x97\x98\x99\x9a\x9b\x9c\x9e\x9f"
 _CP1252_CHARS = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
-_BOM = "﻿"
+_BOM = "\ufeff"
 
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
@@ -42,7 +42,7 @@ def read_table(
     raw = spark.read.option("header", True).option("encoding", encoding).option(
         "multiLine", True
     ).option("escape", '"').csv(path)
-    names = [c.lstrip(_BOM).removeprefix("ï»¿") for c in raw.columns]
+    names = [c.lstrip(_BOM).removeprefix("\u00ef\u00bb\u00bf") for c in raw.columns]
     raw = raw.toDF(*names)
     if encoding != "UTF-8":
         raw = raw.select(*[_cp1252(F.col(f"`{c}`")).alias(c) for c in names])

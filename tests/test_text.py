@@ -132,3 +132,18 @@ def test_normalization_is_idempotent_on_canonical_plain_words(spark):
     once = n.normalize(df, "t", "n")
     twice = n.normalize(once, "n", "m").first()
     assert twice["n"] == twice["m"]
+
+
+def test_gram_counts_equal_counting_all_grams(spark):
+    from collections import Counter
+
+    from vitalscope.functions.grams import gram_counts_udf
+
+    texts = ["dard dard a", "", "seena é dard", None, "a a a"]
+    vocabulary = sorted(set(g for t in texts if t for g in char_grams(t)))[::2]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    counts = gram_counts_udf(vocabulary)
+    got = df.select("i", counts(tx.tokenize(F.col("t"))).alias("c")).orderBy("i").collect()
+    for text, row in zip(texts, got):
+        expected = Counter(char_grams(text or ""))
+        assert row["c"] == [float(expected[g]) for g in vocabulary]

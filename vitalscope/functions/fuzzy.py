@@ -22,12 +22,12 @@ _MATCH = StructType([StructField("term", StringType()), StructField("score", Dou
 
 def _letter_counts(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Letter counts per word (a-z, then all other characters) and lengths."""
-    counts = np.zeros((len(words), 27), dtype=np.int16)
-    for row, word in enumerate(words):
-        for char in word:
-            slot = ord(char) - 97
-            counts[row, slot if 0 <= slot < 26 else 26] += 1
-    return counts, np.array([len(w) for w in words], dtype=np.int32)
+    lengths = np.array([len(w) for w in words], dtype=np.int64)
+    codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    slots = np.where((codes >= 97) & (codes < 123), codes.astype(np.int64) - 97, 26)
+    rows = np.repeat(np.arange(len(words)), lengths)
+    counts = np.bincount(rows * 27 + slots, minlength=len(words) * 27).reshape(len(words), 27)
+    return counts.astype(np.int16), lengths
 
 
 def common_subsequence(a: str, b: str) -> int:

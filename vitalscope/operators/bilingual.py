@@ -10,6 +10,7 @@ from .. import lexicon as lx
 from ..functions import text as tx
 from ..functions.fuzzy import CloseMatcher, repair_tokens_udf
 from ..functions.lookup import WordMap, in_words
+from ..session import with_evaluated
 
 
 @dataclass(frozen=True)
@@ -81,28 +82,28 @@ class BilingualPreprocessor:
         join = tx.join_tokens
         tokens = tx.tokenize(F.lower(tx.as_text(F.col(text))))
         english, others = self.split(F.col("_tokens"))
-        steps = (
-            df.withColumn("_tokens", tokens)
-            .withColumn("_en", english)
-            .withColumn("_ro", others)
-            .withColumn("_en_kept", tx.drop_words(F.col("_en"), self.lexicon.stopwords))
-            .withColumn("_ro_kept", tx.drop_words(F.col("_ro"), self.lexicon.stopwords))
-            .withColumn("_en_fixed", self._english("_en_kept"))
-            .withColumn("_ro_fixed", self._roman("_ro_kept"))
-            .withColumn("corrected_english", join(F.col("_en_fixed")))
-            .withColumn("corrected_roman_urdu", join(F.col("_ro_fixed")))
-        )
+        stopwords = self.lexicon.stopwords
+        steps = with_evaluated(df, "_tokens", tokens)
+        for name, column in [
+            ("_en", english),
+            ("_ro", others),
+            ("_en_kept", tx.drop_words(F.col("_en"), stopwords)),
+            ("_ro_kept", tx.drop_words(F.col("_ro"), stopwords)),
+            ("_en_fixed", self._english("_en_kept")),
+            ("_ro_fixed", self._roman("_ro_kept")),
+            ("corrected_english", join(F.col("_en_fixed"))),
+            ("corrected_roman_urdu", join(F.col("_ro_fixed"))),
+        ]:
+            steps = with_evaluated(steps, name, column)
         phrases, rest = self.map_phrases(F.col("corrected_roman_urdu"))
-        steps = (
-            steps.withColumn("_phrases", phrases)
-            .withColumn("_rest", tx.tokenize(rest))
-            .withColumn("_close", self._close_roman("_rest"))
-            .withColumn("_mapped", tx.map_tokens(F.col("_close"), self._to_english))
-            .withColumn(
-                "mapped_from_roman",
-                join(F.array_distinct(F.concat(F.col("_phrases"), F.col("_mapped")))),
-            )
-        )
+        for name, column in [
+            ("_phrases", phrases),
+            ("_close", self._close_roman(tx.tokenize(rest))),
+            ("_mapped", tx.map_tokens(F.col("_close"), self._to_english)),
+            ("mapped_from_roman",
+             join(F.array_distinct(F.concat(F.col("_phrases"), F.col("_mapped"))))),
+        ]:
+            steps = with_evaluated(steps, name, column)
         combined = F.array_distinct(
             F.concat(tx.tokenize(F.col("corrected_english")), tx.tokenize(F.col("mapped_from_roman")))
         )
@@ -117,6 +118,6 @@ class BilingualPreprocessor:
             )
             .drop(*[
                 "_tokens", "_en", "_ro", "_en_kept", "_ro_kept", "_en_fixed", "_ro_fixed",
-                "_phrases", "_rest", "_close", "_mapped",
+                "_phrases", "_close", "_mapped",
             ])
         )

@@ -10,7 +10,7 @@ from ..lexicon import (
     HISTOGRAM_STOPWORDS, REASSURANCE_FRAGMENTS, RED_FLAG_FRAGMENTS, RHYTHM_HEART_RATE,
     RHYTHM_TEXT_CONFLICTS,
 )
-from ..session import small_rows
+from ..session import checkpointed, small_rows
 
 
 def word_frequencies(docs: DataFrame, text: str = "text", stopwords=HISTOGRAM_STOPWORDS) -> DataFrame:
@@ -36,7 +36,9 @@ def word_vocabulary(docs: DataFrame, text: str = "text", size: int = 350) -> Dat
     return counts.orderBy(F.desc("term_count"), "term").limit(size)
 
 
-def char_vocabulary(docs: DataFrame, text: str = "text", size: int = 350) -> DataFrame:
+def char_vocabulary(
+    docs: DataFrame, text: str = "text", size: int = 350, low: int = 2, high: int = 4
+) -> DataFrame:
     """The most frequent character n-grams inside words: term, term_count.
 
     A gram never leaves its word, so words are counted first and only distinct
@@ -47,7 +49,20 @@ def char_vocabulary(docs: DataFrame, text: str = "text", size: int = 350) -> Dat
         .groupBy("word")
         .agg(F.count("*").alias("n"))
     )
-    grams = words.select(F.explode(tx.char_ngrams_of_word(F.col("word"))).alias("term"), "n")
+    padded = words.select(F.concat(F.lit(" "), "word", F.lit(" ")).alias("p"), "n")
+    starts = padded.select(
+        "p", "n", F.explode(F.sequence(F.lit(1), F.length("p") - low + 1)).alias("start")
+    )
+    ends_inside = [
+        F.when(
+            F.col("start") + length - 1 <= F.length("p"),
+            F.substring("p", F.col("start"), F.lit(length)),
+        )
+        for length in range(low, high + 1)
+    ]
+    grams = starts.select(F.explode(F.array(*ends_inside)).alias("term"), "n").filter(
+        F.col("term").isNotNull()
+    )
     counts = grams.groupBy("term").agg(F.sum("n").alias("term_count"))
     return counts.orderBy(F.desc("term_count"), "term").limit(size)
 
@@ -130,31 +145,37 @@ def leakage_audit(
     ``learned_words``), so rows holding a revealing one are found in the scan
     and only the long tail of rare tokens is joined.
     """
-    revealing = single_class_tokens(docs, tokens, label)
     n_docs = docs.count()
-    frequent = (
-        docs.select(F.explode(F.array_distinct(tokens)).alias("token"))
-        .groupBy("token").count().filter(F.col("count") >= hot_share * n_docs)
+    # Written once, read four times below.
+    table = checkpointed(
+        docs.select(F.col(label).alias("label"), F.explode(F.array_distinct(tokens)).alias("token"))
+        .groupBy("token")
+        .agg(
+            F.count("*").alias("document_count"),
+            (F.min("label") == F.max("label")).alias("reveals"),
+        )
+    )
+    revealing = table.filter("reveals").select("token")
+    rows = small_rows(
+        table.filter(F.col("document_count") >= hot_share * n_docs).select("token", "reveals")
     )
-    rows = small_rows(frequent.join(revealing.select("token", F.lit(True).alias("reveals")),
-                                    "token", "left"))
     pairs = docs.select(key, F.explode(F.array_distinct(tokens)).alias("token"))
     if rows is None:
         holding = pairs.join(revealing, "token", "left_semi").select(key)
     else:
         hot = [r["token"] for r in rows]
         hot_revealing = [r["token"] for r in rows if r["reveals"]]
-        rare = pairs.filter(~in_words(F.col("token"), hot)) if hot else pairs
+        rare = pairs.filter(~in_words(F.col("token"), hot))
         holding = rare.join(revealing, "token", "left_semi").select(key)
         if hot_revealing:
             holding = holding.union(
                 docs.filter(F.exists(tokens, lambda w: in_words(w, hot_revealing))).select(key)
             )
     held = holding.distinct().agg(F.count("*").alias("n_rows_holding"))
-    n_tokens = docs.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.lit(1))
+    totals = table.agg(F.struct(F.count("*").alias("n"), F.count_if("reveals").alias("r"))).scalar()
     return held.select(
-        n_tokens.agg(F.count("*")).scalar().alias("n_tokens"),
-        revealing.agg(F.count("*")).scalar().alias("n_revealing_tokens"),
+        totals["n"].alias("n_tokens"),
+        totals["r"].alias("n_revealing_tokens"),
         "n_rows_holding",
         F.lit(n_docs).cast("long").alias("n_rows"),
     )

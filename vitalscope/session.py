@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # A side is broadcast or turned into a literal only below this many rows.
 SMALL_ROWS = 20_000
@@ -85,3 +85,13 @@ def spread(df: DataFrame) -> DataFrame:
 
 def parallelism(df: DataFrame) -> int:
     return df.sparkSession.sparkContext.defaultParallelism
+
+
+def with_evaluated(df: DataFrame, name: str, column: Column) -> DataFrame:
+    """Add a costly column that later columns read several times.
+
+    Spark may copy an expression into each of its readers, Python functions
+    included. Generating the value keeps one evaluation per row.
+    """
+    kept = [c for c in df.columns if c != name]
+    return df.select(*kept, F.explode(F.array(column)).alias(name))

@@ -124,3 +124,17 @@ def test_results_split_and_run_date(spark, tmp_path):
     assert readers.reference_corpus(None, records, "t").count() == 1
     clusters = spark.createDataFrame([("c", "y")], "cluster string, text string")
     assert readers.reference_corpus(clusters, records, "t").first()["text"] == "y"
+
+
+def test_quoted_line_breaks_are_found(spark, tmp_path):
+    plain = put(tmp_path / "p.csv", 'a,b\n"x ""y""",1\n')
+    assert readers.inspect_text(spark, plain) == ("UTF-8", False)
+    crossing = put(tmp_path / "c.csv", 'a,b\n"x\ny",1\n')
+    assert readers.inspect_text(spark, crossing) == ("UTF-8", True)
+    assert [tuple(r) for r in readers.read_table(spark, crossing).collect()] == [("x\ny", "1")]
+
+
+def test_large_files_are_stamped_by_lines(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(writers, "ONE_ROW_BYTES", 1)
+    path = put(tmp_path / "d.csv", "a\n1\n")
+    assert writers.dataset_stamp(spark, path, 1, 4)["sha256"].startswith("lines:")

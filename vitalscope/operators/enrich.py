@@ -25,20 +25,16 @@ def usable_cache(cache: DataFrame, text: str, value: str) -> DataFrame:
 def from_cache(rows: DataFrame, cache: DataFrame, text: str, value: str) -> DataFrame:
     """Rows with the cached value and a status: resumed or pending."""
     keyed = rows.withColumn("text_key", F.sha2(tx.as_text(F.col(text)), 256))
-    filled = lookup_join(keyed, usable_cache(cache, text, value), "text_key")
+    filled = lookup_join(keyed, usable_cache(cache, text, value), "text_key", bound=cache)
     return filled.withColumn(
         "status", F.when(F.col(value).isNotNull(), "resumed").otherwise("pending")
     ).drop("text_key")
 
 
 def pending_texts(filled: DataFrame, text: str) -> DataFrame:
-    """Distinct texts that still need the service, with their number of rows.
-
-    Grouped by digest; counting merges copies before anything moves.
-    """
-    return filled.filter("status = 'pending'").groupBy(
-        F.sha2(text, 256).alias("text_key")
-    ).agg(F.min(text).alias(text), F.count("*").alias("n_rows"))
+    """Distinct texts that still need the service, with their number of rows;
+    counting merges copies before anything moves."""
+    return filled.filter("status = 'pending'").groupBy(text).agg(F.count("*").alias("n_rows"))
 
 
 def call_service(

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import SMALL_ROWS, small_side
+from ..session import small_rows, small_side
 
 RANGE_DIGITS = 3  # 16**3 ranges per class
 
@@ -19,37 +19,43 @@ def digest(key: Column, seed: int) -> Column:
     return F.md5(F.concat(key.cast("string"), F.lit(f"-{seed}")))
 
 
-def ranked(df: DataFrame, key: str, group: str | None, seed: int, out: str = "rank") -> DataFrame:
-    """Add the 1-based rank of each row in the seeded order of its group."""
+def ranked(
+    df: DataFrame, key: str, group: str | None, seed: int, out: str = "rank",
+    size: str | None = None,
+) -> DataFrame:
+    """Add the 1-based rank of each row in the seeded order of its group, and
+    with ``size`` the number of rows of the group."""
     group_col = F.col(group) if group else F.lit(0)
     marked = df.withColumn("_g", group_col).withColumn("_d", digest(F.col(key), seed)).withColumn(
         "_r", F.substring("_d", 1, RANGE_DIGITS)
     )
     sizes = marked.groupBy("_g", "_r").agg(F.count("*").alias("_n"))
-    earlier = Window.partitionBy("_g").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     # At most 16**RANGE_DIGITS rows per group.
+    whole = Window.partitionBy("_g")
+    earlier = whole.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
-        "_g", "_r", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
+        "_g", "_r", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
+        F.sum("_n").over(whole).alias("_size"),
     )
     inside = Window.partitionBy("_g", "_r").orderBy("_d", key)
-    return (
-        marked.withColumn("_i", F.row_number().over(inside))
-        .join(small_side(offsets, 10 * SMALL_ROWS), ["_g", "_r"])
-        .withColumn(out, F.col("_before") + F.col("_i"))
-        .drop("_g", "_d", "_r", "_n", "_before", "_i")
-    )
+    # The window leaves the rows partitioned the way the join wants them.
+    joined = marked.withColumn("_i", F.row_number().over(inside)).join(
+        offsets, (marked["_g"].eqNullSafe(offsets["_g"])) & (marked["_r"] == offsets["_r"])
+    ).drop(offsets["_g"], offsets["_r"])
+    joined = joined.withColumn(out, F.col("_before") + F.col("_i"))
+    if size is not None:
+        joined = joined.withColumn(size, F.col("_size"))
+    return joined.drop("_g", "_d", "_r", "_n", "_before", "_i", "_size")
 
 
 def stratified_split(
     df: DataFrame, key: str, label: str, test_share: float = 0.2, seed: int = 42
 ) -> DataFrame:
     """Add is_test: the rounded share of each class, chosen by the seeded order."""
-    sizes = df.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_size"))
     return (
-        ranked(df, key, label, seed, "_rank")
-        .join(small_side(sizes), F.col(label) == F.col("_label"))
-        .withColumn("is_test", F.col("_rank") <= F.round(F.col("_size") * test_share))
-        .drop("_rank", "_label", "_size")
+        ranked(df, key, label, seed, "_rank", "_class_rows")
+        .withColumn("is_test", F.col("_rank") <= F.round(F.col("_class_rows") * test_share))
+        .drop("_rank", "_class_rows")
     )
 
 
@@ -115,5 +121,17 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def add_class_weight(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    weights = class_weights(df, label).select(F.col("label").alias("_l"), F.col("weight").alias(out))
-    return df.join(small_side(weights), F.col(label) == F.col("_l")).drop("_l")
+    """Add the weight of each row's class. The class sizes are fetched once; a
+    label with more classes than a small table holds is joined instead."""
+    sizes = df.groupBy(F.col(label).alias("_l")).agg(F.count("*").alias("_n"))
+    rows = small_rows(sizes)
+    if rows is None:
+        weights = class_weights(df, label).select(
+            F.col("label").alias("_l"), F.col("weight").alias(out)
+        )
+    else:
+        total = sum(r["_n"] for r in rows)
+        cells = [(r["_l"], total / (len(rows) * r["_n"])) for r in rows]
+        schema = f"_l {dict(df.dtypes)[label]}, {out} double"
+        weights = F.broadcast(df.sparkSession.createDataFrame(cells, schema))
+    return df.join(weights, F.col(label) == F.col("_l")).drop("_l")

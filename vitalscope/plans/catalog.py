@@ -13,6 +13,7 @@ from ..operators.bilingual import BilingualPreprocessor
 from ..operators.fuzzy_table import close_matches
 from ..operators.normalize import Normalizer
 from ..session import small_side, spread
+from ..sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -119,6 +120,16 @@ def explain_kept(spark, folder):
     return stopwords.explain_kept(document_tokens(spark, folder), token_stats(spark, folder), "doc_id")
 
 
+def stopword_report(spark, folder):
+    docs = labelled_tokens(spark, folder)
+    report = writers.stopword_report(
+        token_stats(spark, folder, docs), stopwords.Thresholds(), WATCH, docs.count(), [0, 1, 2, 3])
+    return report.select(
+        "corpus.n_tokens_tested", "corpus.n_documents",
+        *[F.array_join(c, " ").alias(c)
+          for c in ("stopwords", "protected_from_removal", "review_recommended")])
+
+
 # ---- text stages ----------------------------------------------------------------
 
 def clean_text(spark, folder):
@@ -148,6 +159,12 @@ def normalize_text(spark, folder):
     return docs.select("doc_id", "normalized")
 
 
+def preprocess_text(spark, folder):
+    """Normalized text without a stop-word list, as the encoder reads it."""
+    docs = Normalizer(LEXICON).preprocess(documents(spark, folder), "text", ["the", "ánd", "in"])
+    return docs.select("doc_id", "preprocessed")
+
+
 def explain_stages(spark, folder):
     stages = Normalizer(LEXICON).explain(documents(spark, folder), "doc_id", "text", ["the", "ánd"])
     return stages.select("doc_id", "stage_no", "stage", F.md5("text").alias("text_md5"), "changed",
@@ -333,7 +350,7 @@ def _rounded(df, digits, *names):
 
 
 def cluster_pairs(spark, folder):
-    pairs = similarity.pairs_above(vectors(spark, folder), "vec_id", "embedding", "label")
+    pairs = similarity.pairs_above(vectors(spark, folder), "vec_id", "embedding", "label", 0.25)
     return _rounded(pairs, 6, "cosine_similarity", "pearson_correlation", "euclidean_distance")
 
 
@@ -666,6 +683,11 @@ def onehot(spark, folder):
                        *[flag.alias(f"is_{i}") for i, flag in enumerate(flags)])
 
 
+def wide_to_long(spark, folder):
+    long = readers.wide_clusters(table(spark, folder, "part").select("p_brand", "p_type"))
+    return long.groupBy("cluster", "text").agg(F.count("*").alias("n"))
+
+
 def generic_structured(spark, folder):
     """Column split of a table by type, with what was fitted per column."""
     rows = table(spark, folder, "part")

@@ -354,7 +354,7 @@ def queries_sql() -> dict[str, str]:
       SELECT label, n, round((SELECT sum(n) FROM s)::DOUBLE / ((SELECT count(*) FROM s) * n), 8) AS weight FROM s"""
     # ---- vectors
     sql["cluster_pairs"] = f"""WITH {VEC}, {CEN}, {WITHIN} SELECT cluster, id_a, id_b, round(s, 6) AS cosine_similarity,
-      round(r, 6) AS pearson_correlation, round(e, 6) AS euclidean_distance FROM pair WHERE s > 0.5"""
+      round(r, 6) AS pearson_correlation, round(e, 6) AS euclidean_distance FROM pair WHERE s > 0.25"""
     sql["cluster_summary"] = f"""WITH {VEC}, {CEN}, {WITHIN},
       su AS (SELECT cluster, (SELECT count(*) FROM vec WHERE label = cluster) AS n_complaints, count(*) AS n_pairs, avg(s) AS mc, min(s) AS lo, max(s) AS hi,
         avg(r) AS mr, avg(e) AS me, count_if(s > 0.5) AS above, 100.0::DOUBLE * count_if(s > 0.5) / count(*) AS pct FROM pair GROUP BY cluster),
@@ -447,7 +447,7 @@ def queries_sql() -> dict[str, str]:
     sql["range_flags"] = f"""WITH {MESSY} SELECT event_id, concat_ws(',', CASE WHEN NOT value BETWEEN 1 AND 100 THEN 'value' END, CASE WHEN NOT x BETWEEN 10 AND 90 THEN 'k' END) AS flags FROM num"""
     sql["safe_category"] = """WITH r AS (SELECT o_orderkey, CASE WHEN o_custkey % 2 = 1 THEN lower(o_orderstatus) ELSE o_orderstatus END AS s FROM orders)
       SELECT o_orderkey, CASE WHEN upper(s) = 'O' THEN 'O' ELSE 'F' END AS category,
-        CASE WHEN upper(s) IN ('F', 'O') THEN '' ELSE 'status=''' || s || ''' not seen in lambda training: defaulted to ''F''' END AS note FROM r"""
+        CASE WHEN upper(s) IN ('F', 'O') THEN '' ELSE 'status=''' || s || ''' not seen in training -> defaulted to ''F''' END AS note FROM r"""
     sql["no_text_guard"] = f"""WITH t AS (SELECT doc_id, len({LETTERS}) < 3 AS nt, (n_chars % 100) / 100.0::DOUBLE AS c FROM documents), k AS (SELECT *, CASE WHEN nt THEN least(c, 0.5) ELSE c END AS cc FROM t)
       SELECT doc_id, nt AS no_text, round(cc, 6) AS confidence, printf('%.1f%%', cc * 100) || CASE WHEN nt THEN '  (capped - no complaint text)' ELSE '' END AS shown, cc < 0.4 AS is_low FROM k"""
     sql["passage_prefix"] = "SELECT item_id, 'passage: ' || coalesce(nullif(trim(text), ''), 'empty complaint') AS passage FROM benchmark"
@@ -466,5 +466,27 @@ def queries_sql() -> dict[str, str]:
       0::BIGINT AS n_translated, 0::BIGINT AS n_failed FROM filled"""
     sql["enrich_run"] = f"""WITH {CACHE} SELECT conv_id, turn, coalesce(translation, CASE WHEN length(text) < 400 THEN nullif(reverse(text), '') END) AS translation,
       CASE WHEN status = 'resumed' THEN status WHEN length(text) < 400 AND trim(text) <> '' THEN 'translated' ELSE 'failed' END AS status FROM filled"""
+    weights = values("tw", "ord, k, w", [(i, k, w) for i, (k, w) in enumerate(TERM_WEIGHTS.items())])
+    vw100, vc100 = VOCAB_WORD.replace("LIMIT 350", "LIMIT 100"), VOCAB_CHAR.replace("LIMIT 350", "LIMIT 100")
+    sql["bow_features"] = f"""WITH {vw100}, {vc100}, {weights}, v AS (SELECT 'w' AS b, term FROM vw UNION ALL SELECT 'c', term FROM vc),
+      m AS (SELECT b, term, w, row_number() OVER (PARTITION BY b, term ORDER BY length(k) DESC, ord) AS r FROM v JOIN tw ON
+        CASE WHEN length(k) >= {SUBSTRING_KEY} THEN contains(term, k) ELSE list_contains({tokens_of('term')}, k) END),
+      f AS (SELECT v.b, v.term, coalesce(m.w, 1.0)::DOUBLE AS w FROM v LEFT JOIN m ON m.b = v.b AND m.term = v.term AND m.r = 1),
+      dw AS (SELECT doc_id, 'w' AS b, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM wt),
+      dt AS (SELECT doc_id, ' ' || unnest({tokens_of('lower(text)')}) || ' ' AS p FROM documents),
+      dc AS (SELECT doc_id, 'c' AS b, unnest(list_concat(list_transform(range(1, length(p)), lambda i: substr(p, i::INTEGER, 2)), list_concat(
+        list_transform(range(1, length(p) - 1), lambda i: substr(p, i::INTEGER, 3)), list_transform(range(1, greatest(length(p) - 2, 1)), lambda i: substr(p, i::INTEGER, 4))))) AS term FROM dt),
+      hits AS (SELECT doc_id, a.b, a.term, count(*) * any_value(f.w) AS x FROM (SELECT * FROM dw UNION ALL SELECT * FROM dc) a JOIN f ON f.b = a.b AND f.term = a.term GROUP BY doc_id, a.b, a.term)
+      SELECT d.doc_id, round(coalesce(sum(x), 0), 4) AS total, CAST(count(x) AS INTEGER) AS n_nonzero FROM documents d LEFT JOIN hits USING (doc_id) GROUP BY d.doc_id"""
+    gone = listed(["the", "ánd", "in"])
+    sql["preprocess_text"] = f"""WITH RECURSIVE {FUZZY}, {repaired}, {STUTTER.format(source='rep')},
+      k AS (SELECT doc_id, t, list_filter(t, lambda w: w NOT IN {gone}) AS kept FROM can)
+      SELECT d.doc_id, coalesce(array_to_string(CASE WHEN len(kept) = 0 THEN t ELSE kept END, ' '), '') AS preprocessed FROM documents d LEFT JOIN k USING (doc_id)"""
+    sql["stopword_report"] = f"""{STATS} SELECT count(*) AS n_tokens_tested, (SELECT count(*) FROM ldoc) AS n_documents,
+      string_agg(token, ' ' ORDER BY token) FILTER (is_stopword) AS stopwords,
+      coalesce(string_agg(token, ' ' ORDER BY token) FILTER (is_uninformative AND is_protected), '') AS protected_from_removal,
+      coalesce(string_agg(token, ' ' ORDER BY token) FILTER (is_stopword AND token IN {listed(WATCH)}), '') AS review_recommended FROM stat"""
+    sql["wide_to_long"] = """SELECT 'p_brand' AS cluster, p_brand AS text, count(*) AS n FROM part GROUP BY ALL
+      UNION ALL SELECT 'p_type', p_type, count(*) FROM part GROUP BY ALL"""
     return sql
 

@@ -7,8 +7,8 @@ from . import catalog, catalog_models
 _NAMES = [
     "token_doc_freq", "df_cutoff", "stopword_stats", "stopword_list", "stopword_reasons",
     "stopword_except", "watchlist_intersect", "protected_in_corpus", "remove_stopwords",
-    "explain_kept",
-    "clean_text", "clean_pages", "phrase_rules", "canonical_forms", "normalize_text",
+    "explain_kept", "stopword_report",
+    "clean_text", "clean_pages", "phrase_rules", "canonical_forms", "normalize_text", "preprocess_text",
     "explain_stages", "fuzzy_correct", "close_match", "bilingual_split", "bilingual_truncate",
     "bilingual_preprocess",
     "word_frequencies", "word_freq_top", "vocab_word", "vocab_char", "attention_weights",
@@ -24,7 +24,7 @@ _NAMES = [
     "class_report", "report_averages", "method_table", "method_selection", "method_override",
     "baseline_delta", "method_ablation", "fold_metrics", "fold_summary",
     "repair_numeric", "range_flags", "safe_category", "no_text_guard", "passage_prefix",
-    "level_labels", "median_impute_scale", "onehot", "generic_structured",
+    "level_labels", "median_impute_scale", "onehot", "generic_structured", "wide_to_long",
     "cache_enrich", "pending_rows", "enrich_status", "enrich_run",
 ]
 

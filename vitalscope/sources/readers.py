@@ -14,13 +14,23 @@ _CP1252_CHARS = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š
 _BOM = "\ufeff"
 
 
-def detect_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8 when every line is valid UTF-8, else ISO-8859-1.
+def inspect_text(spark: SparkSession, path: str) -> tuple[str, bool]:
+    """Encoding of a file and whether quoted cells run over several lines.
 
-    One pass over the bytes of the file, run by the executors.
+    One pass by the executors: UTF-8 when every line is valid UTF-8, else
+    ISO-8859-1. When every line has an even number of quotes no cell crosses a
+    line end, and the file may be split for reading.
     """
-    bad = spark.read.text(path).filter(~F.is_valid_utf8("value")).limit(1).count()
-    return "ISO-8859-1" if bad else "UTF-8"
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    facts = spark.read.text(path).agg(
+        F.coalesce(F.bool_or(~F.is_valid_utf8("value")), F.lit(False)).alias("bad"),
+        F.coalesce(F.bool_or(quotes % 2 == 1), F.lit(False)).alias("crossing"),
+    ).first()
+    return ("ISO-8859-1" if facts["bad"] else "UTF-8"), facts["crossing"]
+
+
+def detect_encoding(spark: SparkSession, path: str) -> str:
+    return inspect_text(spark, path)[0]
 
 
 def _cp1252(col: Column) -> Column:
@@ -38,9 +48,10 @@ def read_table(
     suffix = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if suffix not in ("csv", "txt"):
         raise ValueError(f"unsupported file type {suffix!r}; use csv or txt")
-    encoding = encoding or detect_encoding(spark, path)
+    found, crossing = inspect_text(spark, path)
+    encoding = encoding or found
     raw = spark.read.option("header", True).option("encoding", encoding).option(
-        "multiLine", True
+        "multiLine", crossing
     ).option("escape", '"').csv(path)
     names = [c.lstrip(_BOM).removeprefix("\u00ef\u00bb\u00bf") for c in raw.columns]
     raw = raw.toDF(*names)

@@ -19,6 +19,9 @@ UNKNOWN_PROVENANCE = {
 }
 
 
+ONE_ROW_BYTES = 1 << 30
+
+
 def _flat(df: DataFrame) -> DataFrame:
     """Nested columns as JSON text, which CSV can hold."""
     return df.select(*[
@@ -96,16 +99,23 @@ def write_metrics(tables: dict[str, DataFrame], path: str) -> None:
 def dataset_stamp(spark: SparkSession, path: str, n_rows: int, n_classes: int) -> dict:
     """File name, digest, rows, classes and provenance of a training file.
 
-    A single file is digested by an executor. Of a directory the stamp is the
-    digest of the sorted digests of its files.
+    A file is digested by one executor. Of a directory the stamp is the digest
+    of the sorted digests of its files. Files too large for one row are stamped
+    by a sum over line digests instead, which any number of tasks can share.
     """
-    files = spark.read.format("binaryFile").load(path).select(
-        "path", F.sha2("content", 256).alias("digest")
-    )
-    digests = files.agg(F.sort_array(F.collect_list("digest")).alias("d"), F.count("*").alias("n"))
-    digest = digests.select(
-        F.when(F.col("n") == 1, F.get("d", F.lit(0))).otherwise(F.sha2(F.array_join("d", ""), 256))
-    ).first()[0]
+    files = spark.read.format("binaryFile").load(path)
+    if files.filter(F.col("length") > ONE_ROW_BYTES).limit(1).count():
+        total = F.sum(F.xxhash64("value").cast("decimal(20,0)")).cast("string")
+        digest = "lines:" + spark.read.text(path).agg(total).first()[0]
+    else:
+        # One short digest per file.
+        digests = files.select(F.sha2("content", 256).alias("d")).agg(
+            F.sort_array(F.collect_list("d")).alias("d")
+        )
+        digest = digests.select(
+            F.when(F.size("d") == 1, F.get("d", F.lit(0)))
+            .otherwise(F.sha2(F.array_join("d", ""), 256))
+        ).first()[0]
     try:
         text = spark.read.text(path + ".provenance.json", wholetext=True).first()["value"]
         provenance = json.loads(text)

@@ -10,7 +10,7 @@ from ..lexicon import (
     HISTOGRAM_STOPWORDS, REASSURANCE_FRAGMENTS, RED_FLAG_FRAGMENTS, RHYTHM_HEART_RATE,
     RHYTHM_TEXT_CONFLICTS,
 )
-from ..session import checkpointed, small_rows
+from ..session import checkpointed, small_rows, with_evaluated
 
 
 def word_frequencies(docs: DataFrame, text: str = "text", stopwords=HISTOGRAM_STOPWORDS) -> DataFrame:
@@ -31,7 +31,8 @@ def top_words(frequencies: DataFrame, n: int = 30) -> DataFrame:
 
 def word_vocabulary(docs: DataFrame, text: str = "text", size: int = 350) -> DataFrame:
     """The most frequent word uni- and bigrams: term, term_count."""
-    grams = docs.select(F.explode(tx.word_ngrams(tx.word_tokens(F.col(text)))).alias("term"))
+    words = with_evaluated(docs.select(text), "words", tx.word_tokens(F.col(text)))
+    grams = words.select(F.explode(tx.word_ngrams(F.col("words"))).alias("term"))
     counts = grams.groupBy("term").agg(F.count("*").alias("term_count"))
     return counts.orderBy(F.desc("term_count"), "term").limit(size)
 

@@ -1,7 +1,6 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from vitalscope.lexicon import REVIEW_WORDS
 from vitalscope.operators import evaluation, stopwords as sw

@@ -10,7 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import small_rows, small_side
+from ..session import small_rows
+from .skew import lookup_join
 
 RANGE_DIGITS = 3  # 16**3 ranges per class
 
@@ -110,7 +111,7 @@ def meaning_clusters(
 def large_enough_groups(df: DataFrame, group: str, at_least: int) -> DataFrame:
     """Rows whose group has at least ``at_least`` rows."""
     big = df.groupBy(group).count().filter(F.col("count") >= at_least).select(group)
-    return df.join(small_side(big), group, "left_semi")
+    return lookup_join(df, big, group, "left_semi")
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
@@ -126,12 +127,11 @@ def add_class_weight(df: DataFrame, label: str, out: str = "weight") -> DataFram
     sizes = df.groupBy(F.col(label).alias("_l")).agg(F.count("*").alias("_n"))
     rows = small_rows(sizes)
     if rows is None:
-        weights = class_weights(df, label).select(
-            F.col("label").alias("_l"), F.col("weight").alias(out)
+        weights = class_weights(df.withColumn("_l", F.col(label)), "_l").select(
+            F.col("label").alias(label), F.col("weight").alias(out)
         )
-    else:
-        total = sum(r["_n"] for r in rows)
-        cells = [(r["_l"], total / (len(rows) * r["_n"])) for r in rows]
-        schema = f"_l {dict(df.dtypes)[label]}, {out} double"
-        weights = F.broadcast(df.sparkSession.createDataFrame(cells, schema))
-    return df.join(weights, F.col(label) == F.col("_l")).drop("_l")
+        return lookup_join(df, weights, label, "inner")
+    total = sum(r["_n"] for r in rows)
+    cells = [(r["_l"], total / (len(rows) * r["_n"])) for r in rows]
+    schema = f"`{label}` {dict(df.dtypes)[label]}, `{out}` double"
+    return df.join(F.broadcast(df.sparkSession.createDataFrame(cells, schema)), label)

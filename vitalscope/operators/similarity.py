@@ -313,47 +313,53 @@ def compare_arms(left: DataFrame, right: DataFrame, names=("a", "b")) -> DataFra
     return wide.withColumn("gap_change", F.col(f"gap_{b}") - F.col(f"gap_{a}"))
 
 
-def _best_rows(sims: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Best similarity per row and its key; columns come sorted by key, so the
-    first maximum is the smallest key."""
-    at = sims.argmax(axis=1)
-    return sims[np.arange(len(sims)), at], keys[at]
-
-
 def _tile_best(tile: Tile, both_sides: bool) -> pd.DataFrame:
+    """Best partner in this tile of every left row and, with ``both_sides``, of
+    every right row, with the clusters of both."""
     ux, uy = units(tile.x), units(tile.y)
     left, right = tile.left["key"].to_numpy(), tile.right["key"].to_numpy()
-    parts, best_col = [], None
+    lc, rc = tile.left["c"].to_numpy(), tile.right["c"].to_numpy()
+    value, at = np.full(len(left), -np.inf), np.zeros(len(left), dtype=np.int64)
+    back, back_at = np.full(len(right), -np.inf), np.zeros(len(right), dtype=np.int64)
     for rows in tile.stripes():
         sims = np.round(ux[rows] @ uy.T, DIGITS)
         if tile.same:
             sims[np.arange(rows.stop - rows.start), np.arange(rows.start, rows.stop)] = -np.inf
-        value, found = _best_rows(sims, right)
-        parts.append(pd.DataFrame({"key": left[rows], "similarity": value, "neighbour": found}))
+        # Rows come sorted by key: the first maximum has the smallest key.
+        at[rows] = sims.argmax(axis=1)
+        value[rows] = sims[np.arange(len(sims)), at[rows]]
         if both_sides and not tile.same:
-            value, found = _best_rows(sims.T, left[rows])
-            if best_col is None:
-                best_col = [value, found]
-            else:
-                better = value > best_col[0]
-                best_col = [np.where(better, value, best_col[0]),
-                            np.where(better, found, best_col[1])]
-    if best_col is not None:
-        parts.append(pd.DataFrame({"key": right, "similarity": best_col[0],
-                                   "neighbour": best_col[1]}))
-    best = pd.concat(parts)
+            first = sims.argmax(axis=0)
+            found = sims[first, np.arange(sims.shape[1])]
+            better = found > back
+            back_at = np.where(better, first + rows.start, back_at)
+            back = np.where(better, found, back)
+
+    def table(keys, own, values, others, classes, chosen):
+        return pd.DataFrame({
+            "key": keys, "true_cluster": own, "similarity": values,
+            "neighbour": others[chosen], "neighbour_cluster": classes[chosen],
+        })
+
+    best = table(left, lc, value, right, rc, at)
+    if both_sides and not tile.same:
+        best = pd.concat([best, table(right, rc, back, left, lc, back_at)])
     return best[np.isfinite(best["similarity"])]
 
 
-def _nearest(tiles: DataFrame, key_type: str, cross: bool) -> DataFrame:
+def _nearest(tiles: DataFrame, cross: bool) -> DataFrame:
+    types = dict(tiles.dtypes)
     found = over_tiles(
         tiles, lambda tile: _tile_best(tile, both_sides=not cross),
-        f"key {key_type},similarity double,neighbour {key_type}", cross=cross,
+        f"key {types['key']},true_cluster {types['c']},similarity double,"
+        f"neighbour {types['key']},neighbour_cluster {types['c']}",
+        cross=cross,
     )
     order = F.struct(-F.col("similarity"), F.col("neighbour"))
-    return found.groupBy("key").agg(
-        F.max("similarity").alias("similarity"), F.min_by("neighbour", order).alias("neighbour")
+    best = found.groupBy("key", "true_cluster").agg(
+        F.min_by(F.struct("neighbour", "neighbour_cluster", "similarity"), order).alias("best")
     )
+    return best.select("key", "true_cluster", "best.*")
 
 
 def nearest_closed(
@@ -361,13 +367,14 @@ def nearest_closed(
 ) -> DataFrame:
     """Each row's most similar other row: key, cluster, neighbour, similarity, hit.
 
-    Ties go to the smallest key.
+    Ties go to the smallest key. Clusters travel with the tiles, so a row that
+    is the neighbour of very many others is never a join key.
     """
-    key_type = dict(df.dtypes)[key]
-    best = _nearest(self_tiles(df, key, vector, block_rows=block_rows), key_type, cross=False)
-    mine = df.select(F.col(key).alias("key"), F.col(cluster).alias("true_cluster"))
-    theirs = df.select(F.col(key).alias("neighbour"), F.col(cluster).alias("neighbour_cluster"))
-    return mine.join(best, "key").join(theirs, "neighbour").select(
+    labelled = df.withColumn("c", F.col(cluster))
+    best = _nearest(
+        self_tiles(labelled, key, vector, keep=("c",), block_rows=block_rows), cross=False
+    )
+    return best.select(
         "key", "true_cluster", "neighbour", "neighbour_cluster", "similarity",
         (F.col("true_cluster") == F.col("neighbour_cluster")).alias("same_meaning"),
     )
@@ -377,9 +384,11 @@ def nearest_open(
     closed: DataFrame, df: DataFrame, pool: DataFrame, key: str, vector: str, block_rows: int = 4096
 ) -> DataFrame:
     """Add the winner once ``pool`` rows compete; the closed neighbour wins ties."""
-    key_type = dict(df.dtypes)[key]
-    tiles = cross_tiles(df, pool, key, vector, block_rows=block_rows)
-    out = _nearest(tiles, key_type, cross=True).select(
+    none = F.lit(None).cast("string")
+    tiles = cross_tiles(
+        df.withColumn("c", none), pool.withColumn("c", none), key, vector, ("c",), block_rows
+    )
+    out = _nearest(tiles, cross=True).select(
         "key", F.col("similarity").alias("pool_similarity"), F.col("neighbour").alias("pool_key")
     )
     stays = F.col("pool_similarity").isNull() | (F.col("similarity") >= F.col("pool_similarity"))

@@ -2,7 +2,7 @@
 
 A repair depends on the word alone, so it runs inside the scan stage: no
 shuffle, no table of repairs to join back. Each Arrow batch is dictionary
-encoded and only words the worker has not met are scored.
+encoded and only words the task has not met are scored.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
-# Words a Python worker remembers before it starts afresh.
+# Words a task remembers before it starts afresh.
 MEMORY_WORDS = 500_000
 
 _MATCH = StructType([StructField("term", StringType()), StructField("score", DoubleType())])
@@ -111,7 +111,7 @@ class CloseMatcher:
 
 
 class _Remembered:
-    """Calls ``matcher`` only for words this worker has not met yet."""
+    """Calls ``matcher`` only for words this task has not met yet."""
 
     def __init__(self, matcher):
         self.matcher = matcher

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, sharding, warc
+from . import ann, bpe, sharding, warc
 from .common import table
 
 SHARD_BYTES = 1 << 20
@@ -25,10 +25,15 @@ def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(table(spark, folder, "pages"))
 
 
+def op10_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.search(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op4_sharding": op4_sharding,
     "op6_bpe": op6_bpe,
     "op8_warc": op8_warc,
+    "op10_neighbours": op10_neighbours,
 }
 
 SQL = {
@@ -53,7 +58,7 @@ SQL = {
             SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
         last AS (SELECT hex, max(page_id) AS page_id FROM rows GROUP BY hex)
         SELECT r.page_id, strlen(r.html)::BIGINT AS payload_bytes,
-            list_aggregate(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+            list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
                 1 + (((('0x' || substr(r.hex, 1 + 5 * (i // 4)::INT, 5))::INT >> (15 - 5 * (i % 4)::INT))) & 31), 1)),
                 'string_agg', '') AS payload_digest,
             CASE WHEN l.page_id > r.page_id THEN 'revisit' ELSE 'response' END AS record_type,

@@ -32,7 +32,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Words, with_id
+from .common import units, with_id
 
 BLOCK = 24 << 20
 LONG = 400
@@ -152,19 +152,6 @@ def _heap_merge(ids: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
     return [x for x, a in zip(ids, alive) if a]
 
 
-def _units(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """The texts cut before every white space that follows a word: (pieces, pieces per text).
-
-    The split pattern never matches across such a place and looks at nothing
-    before it, so a piece is split alike wherever it stands.
-    """
-    words = Words(texts)
-    starts = np.union1d(words.end, words.bounds)
-    counts = np.diff(np.searchsorted(starts, words.bounds))
-    data = pa.py_buffer(words.data)
-    return pa.Array.from_buffers(pa.large_string(), len(starts) - 1, [None, pa.py_buffer(starts.astype(np.int64)), data]), counts
-
-
 def _prepared(tokens: list[bytes], pattern: str, pairs: dict):
     whole = {t: i for i, t in enumerate(tokens) if t}
     single = [whole[bytes([b])] for b in range(256)]
@@ -172,7 +159,7 @@ def _prepared(tokens: list[bytes], pattern: str, pairs: dict):
     def block(ids: list, texts: list[str]) -> pa.RecordBatch:
         split = regex.compile(pattern)
         odd = {i for i, t in enumerate(texts) if _OTHER_SPACE.search(t)}
-        pieces, counts = _units(pa.array(["" if i in odd else t for i, t in enumerate(texts)], pa.large_string()))
+        pieces, counts = units(pa.array(["" if i in odd else t for i, t in enumerate(texts)], pa.large_string()))
         coded = pieces.dictionary_encode()
         index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
         units = coded.dictionary.to_pylist()

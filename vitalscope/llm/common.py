@@ -13,6 +13,8 @@ from vitalscope.session import checkpoint_dir
 # Texts are worked on in blocks of about this many bytes, so that a task's
 # memory does not follow the size of an Arrow batch.
 BLOCK_BYTES = 1 << 21
+# Where the distinct words of a block are looked at once each, larger blocks hold fewer.
+LARGE_BLOCK = 1 << 24
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -108,6 +110,7 @@ def _inverse_powers(which: int, n: int, _kept: dict = {}) -> np.ndarray:
     return _kept[which]
 
 
+SPACES = " \t\n\x0b\x0c\r"
 _K = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -129,6 +132,19 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return acc
 
 
+def units(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The texts cut before every white space that follows a word: (pieces, pieces per text).
+
+    A piece is white space and a word; a text's first may lack the space, its
+    last the word. The pieces share the texts' memory.
+    """
+    words = Words(texts)
+    starts = np.union1d(words.end, words.bounds)
+    counts = np.diff(np.searchsorted(starts, words.bounds))
+    data = pa.py_buffer(words.data)
+    return pa.Array.from_buffers(pa.large_string(), len(starts) - 1, [None, pa.py_buffer(starts.astype(np.int64)), data]), counts
+
+
 def blocks(texts: pa.Array, limit: int = BLOCK_BYTES):
     """Slices ``(start, texts)`` of about ``limit`` bytes; one longer text stays whole."""
     if isinstance(texts, pa.ChunkedArray):
@@ -141,3 +157,24 @@ def blocks(texts: pa.Array, limit: int = BLOCK_BYTES):
         to = min(to, len(texts))
         yield at, texts.slice(at, to - at)
         at = to
+
+
+class Vocabulary:
+    """The pieces of a block as numbers: ``words[unit[i]]`` is the i-th word, without white space.
+
+    The words of text ``i`` are the positions ``first[i]:first[i + 1]``; ``doc`` names each position's text.
+    """
+
+    def __init__(self, texts: pa.Array) -> None:
+        pieces, counts = units(texts)
+        coded = pieces.dictionary_encode()
+        index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        known: dict[str, int] = {}
+        place = np.array([known.setdefault(p.strip(SPACES), len(known)) for p in coded.dictionary.to_pylist()], np.int64)
+        doc = np.repeat(np.arange(len(counts)), counts)
+        unit = place[index] if len(index) else index
+        if "" in known:  # white space at the end of a text
+            fine = unit != known[""]
+            unit, doc = unit[fine], doc[fine]
+        self.words, self.unit, self.doc = list(known), unit, doc
+        self.first = np.searchsorted(doc, np.arange(len(counts) + 1))

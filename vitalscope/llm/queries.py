@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, sharding, warc
+from . import ann, bpe, sharding, toxicity, warc
 from .common import table
 
 SHARD_BYTES = 1 << 20
 
 
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign(table(spark, folder, "documents"), SHARD_BYTES)
 
@@ -30,6 +34,7 @@ def op10_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op4_sharding": op4_sharding,
     "op6_bpe": op6_bpe,
     "op8_warc": op8_warc,

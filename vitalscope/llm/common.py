@@ -88,26 +88,26 @@ class Words:
 
     def hashes(self, which: int = 0) -> np.ndarray:
         """A 64-bit hash of each word's bytes; ``which`` picks one of two independent ones."""
-        powers = np.empty(len(self.data) + 1, np.uint64)
-        powers[0] = 1
-        if len(self.data):
-            np.cumprod(np.full(len(self.data), _STEP[which]), out=powers[1:])
+        powers, back = _powers(which, len(self.data) + 1)
         sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_BYTE[which][self.data] * powers[:-1], out=sums[1:])
-        back = _inverse_powers(which, len(self.data) + 1)[self.start]
-        h = (sums[self.end] - sums[self.start]) * back
+        np.cumsum(_BYTE[which][self.data] * powers[:len(self.data)], out=sums[1:])
+        h = (sums[self.end] - sums[self.start]) * back[self.start]
         return mix(h + (self.end - self.start).astype(np.uint64))
 
 
-def _inverse_powers(which: int, n: int, _kept: dict = {}) -> np.ndarray:
-    if which not in _kept or len(_kept[which]) < n:
-        table = np.empty(max(n, BLOCK_BYTES), np.uint64)
-        table[0] = 1
-        np.cumprod(np.full(len(table) - 1, _BACK[which]), out=table[1:])
-        if n > 4 * BLOCK_BYTES:
-            return table
-        _kept[which] = table
-    return _kept[which]
+def _powers(which: int, n: int, _kept: dict = {}) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a multiplier and of its inverse, kept for blocks of the usual size."""
+    if which in _kept and len(_kept[which][0]) >= n:
+        return _kept[which]
+    tables = []
+    for factor in (_STEP[which], _BACK[which]):
+        powers = np.empty(max(n, BLOCK_BYTES + 1), np.uint64)
+        powers[0] = 1
+        np.cumprod(np.full(len(powers) - 1, factor), out=powers[1:])
+        tables.append(powers)
+    if n <= 4 * BLOCK_BYTES:
+        _kept[which] = tuple(tables)
+    return tuple(tables)
 
 
 SPACES = " \t\n\x0b\x0c\r"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, sharding, toxicity, warc
+from . import ann, bpe, quality, sharding, toxicity, warc
 from .common import table
 
 SHARD_BYTES = 1 << 20
@@ -18,6 +18,10 @@ def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign(table(spark, folder, "documents"), SHARD_BYTES)
 
 
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -36,6 +40,7 @@ def op10_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op4_sharding": op4_sharding,
+    "op5_quality": op5_quality,
     "op6_bpe": op6_bpe,
     "op8_warc": op8_warc,
     "op10_neighbours": op10_neighbours,

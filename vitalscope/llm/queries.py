@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, quality, sharding, toxicity, warc
+from . import ann, bpe, pii, quality, sharding, toxicity, warc
 from .common import table
 
 SHARD_BYTES = 1 << 20
@@ -33,6 +33,10 @@ def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(table(spark, folder, "pages"))
 
 
+def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.extract(table(spark, folder, "documents"))
+
+
 def op10_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return ann.search(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -43,6 +47,7 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op6_bpe": op6_bpe,
     "op8_warc": op8_warc,
+    "op9_pii": op9_pii,
     "op10_neighbours": op10_neighbours,
 }
 

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, pii, quality, sharding, toxicity, warc
+from . import ann, bpe, pii, quality, sharding, substring, toxicity, warc
 from .common import table
 
 SHARD_BYTES = 1 << 20
 
 
+def op1_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, folder, "documents"), digests=True)
+
+
 def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -42,6 +46,7 @@ def op10_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substrings": op1_substrings,
     "op2_toxicity": op2_toxicity,
     "op4_sharding": op4_sharding,
     "op5_quality": op5_quality,
@@ -52,6 +57,23 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_substrings": """
+        WITH w AS (
+            SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS ws FROM documents),
+        windows AS (
+            SELECT doc_id, s, array_to_string(ws[s:s + 19], ' ') AS k
+            FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS s FROM w)),
+        repeats AS (
+            SELECT doc_id, s FROM (
+                SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS n FROM windows) WHERE n > 1),
+        removed AS (SELECT DISTINCT doc_id, s + o AS p FROM repeats, range(0, 20) r(o)),
+        words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+        kept AS (
+            SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t
+            FROM words ANTI JOIN removed USING (doc_id, p) GROUP BY doc_id)
+        SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed,
+            sha256(coalesce(t, '')) AS kept_sha256
+        FROM w LEFT JOIN kept USING (doc_id)""",
     "op4_sharding": f"""
         WITH counted AS (
             SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS bytes, count(*) AS n FROM documents GROUP BY 1, 2),

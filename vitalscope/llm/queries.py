@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, pii, quality, sharding, substring, toxicity, warc
+from . import ann, bpe, ngram_join, pii, quality, sharding, substring, toxicity, warc
 from .common import table
 
 SHARD_BYTES = 1 << 20
@@ -33,6 +33,10 @@ def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN, digests=True)
 
 
+def op7_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.link_components(table(spark, folder, "documents"), k=3, share=90)
+
+
 def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(table(spark, folder, "pages"))
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op5_quality": op5_quality,
     "op6_bpe": op6_bpe,
+    "op7_ngram_join": op7_ngram_join,
     "op8_warc": op8_warc,
     "op9_pii": op9_pii,
     "op10_neighbours": op10_neighbours,
@@ -90,6 +95,26 @@ SQL = {
             FROM at_depth a JOIN buckets b ON a.depth = b.depth AND a.prefix = b.prefix
             WHERE shard_bytes <= {SHARD_BYTES} OR shard_rows = 1)
         SELECT doc_id, copy, bytes, depth, prefix, shard_bytes, shard_rows FROM fitting WHERE k = 1""",
+    "op7_ngram_join": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), []) AS ws FROM documents),
+        grams AS (
+            SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS g
+            FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS i FROM w WHERE len(ws) > 0)),
+        sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY 1),
+        overlaps AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i
+            FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        links AS (
+            SELECT o.a, o.b FROM overlaps o JOIN sizes x ON o.a = x.doc_id JOIN sizes y ON o.b = y.doc_id
+            WHERE 100 * i >= 90 * (x.n + y.n - i)),
+        edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reached AS (
+            SELECT doc_id, doc_id AS other FROM w
+            UNION SELECT r.doc_id, e.b FROM reached r JOIN edges e ON r.other = e.a)
+        SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(other) AS component_id
+        FROM w LEFT JOIN sizes USING (doc_id) JOIN reached USING (doc_id) GROUP BY ALL""",
     "op8_warc": """
         WITH rows AS (
             SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),

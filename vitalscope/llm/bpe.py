@@ -32,7 +32,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import units, with_id
+from .common import ranges, units, with_id
 
 BLOCK = 24 << 20
 LONG = 400
@@ -207,16 +207,10 @@ def _prepared(tokens: list[bytes], pattern: str, pairs: dict):
     return run
 
 
-def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """All positions of the ranges that begin at ``starts``, one after the other."""
-    ends = np.cumsum(sizes)
-    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes - starts, sizes)
-
-
 def _gather(values: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lists (values cut by sizes) picked by ``index``: (values, sizes)."""
     begins = np.cumsum(sizes) - sizes
-    return values[_ranges(begins[index], sizes[index])], sizes[index]
+    return values[ranges(begins[index], sizes[index])], sizes[index]
 
 
 def _gathered(tokens: list[bytes], full: bool):
@@ -242,7 +236,7 @@ def _gathered(tokens: list[bytes], full: bool):
                     last = min(first + 512, len(ids))
                     own = index[place:ends[last - 1]]
                     place = ends[last - 1]
-                    got = flat[_ranges(unit_at[own], unit_sizes[own])]
+                    got = flat[ranges(unit_at[own], unit_sizes[own])]
                     data, _ = _gather(piece_data, piece_sizes, got)
                     cuts = np.concatenate([[0], np.cumsum(unit_sizes[own])])[np.concatenate([[0], np.cumsum(counts[first:last])])]
                     byte_cuts = np.concatenate([[0], np.cumsum(piece_sizes[got])])[cuts]

@@ -159,6 +159,12 @@ def blocks(texts: pa.Array, limit: int = BLOCK_BYTES):
         at = to
 
 
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All positions of the ranges that begin at ``starts``, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes - starts, sizes)
+
+
 class Vocabulary:
     """The pieces of a block as numbers: ``words[unit[i]]`` is the i-th word, without white space.
 

@@ -282,3 +282,17 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     return lookup_join(named, label, "node").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("comp", "node")).otherwise(F.col("doc_id")).alias("component_id")
     )
+
+
+def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, share: int = 80) -> DataFrame:
+    """``docs`` with the document of the smallest doc_id of each component; all columns stay.
+
+    Documents without words or doc_id stay, and of rows that repeat a doc_id one does.
+    """
+    found = stored(link_components(docs, key, text, k, share).filter("doc_id is not null"))
+    heads = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    own = F.col(f"`{key}`").cast("long")
+    kept = docs.filter(own.isNotNull()).join(heads, own == F.col("__id"), "left_semi")
+    if not found.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        kept = kept.dropDuplicates([key])
+    return kept.unionByName(docs.filter(own.isNull()))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, ngram_join, pii, quality, sharding, substring, toxicity, warc
+from . import ann, bpe, decontaminate, ngram_join, pii, quality, sharding, substring, toxicity, warc
 from .common import table
 
 SHARD_BYTES = 1 << 20
@@ -18,6 +18,10 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign(table(spark, folder, "documents"), SHARD_BYTES)
 
@@ -52,6 +56,7 @@ def op10_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_substrings": op1_substrings,
     "op2_toxicity": op2_toxicity,
+    "op3_decontaminate": op3_decontaminate,
     "op4_sharding": op4_sharding,
     "op5_quality": op5_quality,
     "op6_bpe": op6_bpe,
@@ -103,11 +108,11 @@ SQL = {
             SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS g
             FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS i FROM w WHERE len(ws) > 0)),
         sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY 1),
-        overlaps AS (
+        shared AS (
             SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i
             FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
         links AS (
-            SELECT o.a, o.b FROM overlaps o JOIN sizes x ON o.a = x.doc_id JOIN sizes y ON o.b = y.doc_id
+            SELECT o.a, o.b FROM shared o JOIN sizes x ON o.a = x.doc_id JOIN sizes y ON o.b = y.doc_id
             WHERE 100 * i >= 90 * (x.n + y.n - i)),
         edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
         reached AS (

@@ -162,17 +162,17 @@ def _prepared(tokens: list[bytes], pattern: str, pairs: dict):
         pieces, counts = units(pa.array(["" if i in odd else t for i, t in enumerate(texts)], pa.large_string()))
         coded = pieces.dictionary_encode()
         index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
-        units = coded.dictionary.to_pylist()
+        distinct = coded.dictionary.to_pylist()
         if odd:  # such a text is one unit
             chunks, at = [], 0
             for i, n in enumerate(counts):
-                chunks.append(np.array([len(units)], np.int32) if i in odd else index[at:at + n])
+                chunks.append(np.array([len(distinct)], np.int32) if i in odd else index[at:at + n])
                 at += n
                 if i in odd:
-                    units.append(texts[i])
+                    distinct.append(texts[i])
             index, counts = np.concatenate(chunks), np.array([len(c) for c in chunks])
         known: dict[str, int] = {}
-        parts = [[known.setdefault(m, len(known)) for m in split.findall(u)] for u in units]
+        parts = [[known.setdefault(m, len(known)) for m in split.findall(u)] for u in distinct]
         words = []
         for word in known:
             raw = word.encode()

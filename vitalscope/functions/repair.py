@@ -6,6 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from ..lexicon import NO_TEXT_WARNING
 from ..schemas import LEVEL_LABELS, VITAL_RANGES
+from .text import strip
 
 # Ceilings, cut-offs and grade bands.
 CONFIDENCE_WITHOUT_TEXT = 0.50
@@ -20,17 +21,23 @@ MATCH_BANDS = [(0.7, "confident"), (0.5, "usable")]
 
 def parsed_number(raw: Column) -> Column:
     """The number in a text cell; null when blank, unreadable or NaN."""
-    text = F.trim(raw.cast("string"))
+    text = strip(raw.cast("string"))
     # Java also reads "1.0d" and "2f" as numbers; those count as unreadable.
     plain = text.rlike(r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)$")
     return F.when(plain, text.try_cast("double"))
 
 
 def is_blank(raw: Column) -> Column:
-    text = F.lower(F.trim(raw.cast("string")))
+    text = F.lower(strip(raw.cast("string")))
     return raw.isNull() | text.isin("", "nan")
 
 
+def finite_number(raw: Column) -> Column:
+    """The number in a cell, null where there is none or it is infinite; what a fit may read."""
+    number = parsed_number(raw)
+    return F.when(F.abs(number) < float("inf"), number)
+
+
 def safe_number(raw: Column, default: float | Column) -> Column:
     default = default if isinstance(default, Column) else F.lit(float(default))
     return F.coalesce(parsed_number(raw), default)
@@ -46,17 +53,26 @@ def number_note(name: str, raw: Column) -> Column:
     )
 
 
-def safe_category(raw: Column, classes: list[str]) -> Column:
-    """Exact class, else the class equal but for case, else the first class."""
-    text = F.trim(raw.cast("string"))
+def _category_text(raw: Column, classes: list[str], missing: str) -> Column:
+    """The stripped text; a null is the class ``missing`` where that was trained."""
+    text = strip(raw.cast("string"))
+    return F.coalesce(text, F.lit(missing)) if missing in classes else text
+
+
+def safe_category(raw: Column, classes: list[str], missing: str = "nan") -> Column:
+    """Exact class, else the class equal but for case, else the first class.
+
+    A null belongs to the class ``missing`` if training saw one.
+    """
+    text = _category_text(raw, classes, missing)
     by_lower = {c.lower(): c for c in classes}
     exact = F.when(text.isin(list(classes)), text)
     folded = F.create_map(*[F.lit(x) for pair in by_lower.items() for x in pair])
     return F.coalesce(exact, F.element_at(folded, F.lower(text)), F.lit(classes[0]))
 
 
-def category_note(name: str, raw: Column, classes: list[str]) -> Column:
-    text = F.trim(raw.cast("string"))
+def category_note(name: str, raw: Column, classes: list[str], missing: str = "nan") -> Column:
+    text = _category_text(raw, classes, missing)
     known = F.coalesce(F.lower(text).isin([c.lower() for c in classes]), F.lit(False))
     shown = F.coalesce(text, F.lit("missing"))
     return F.when(

@@ -14,6 +14,11 @@ def as_text(col: Column, default: str = "") -> Column:
     return F.coalesce(col.cast("string"), F.lit(default))
 
 
+def strip(col: Column) -> Column:
+    """The text without white space of any kind at its ends."""
+    return F.regexp_replace(col, f"(?U)^[{SPACE}]+|[{SPACE}]+$", "")
+
+
 def clean_text(col: Column) -> Column:
     """Lower-case; everything but a-z and whitespace becomes one space each."""
     return F.regexp_replace(F.lower(col), f"(?U)[^a-z{SPACE}]", " ")
@@ -111,5 +116,5 @@ def char_ngrams(text: Column, low: int = 2, high: int = 4) -> Column:
 
 def passage_prefix(text: Column) -> Column:
     """Prefix for passage encoders; a blank text gets a stand-in."""
-    body = F.coalesce(F.nullif(F.trim(text), F.lit("")), F.lit("empty complaint"))
+    body = F.coalesce(F.nullif(strip(text), F.lit("")), F.lit("empty complaint"))
     return F.concat(F.lit("passage: "), body)

@@ -81,11 +81,9 @@ stat{t} AS (
 
 
 STATS = f"WITH {LABELS}, {stats_ctes()}"
-REASON = """CASE WHEN is_stopword THEN 'STOP WORD - removed'
- WHEN is_protected AND is_uninformative THEN 'kept - clinical safety guard (medical vocabulary)'
- WHEN round(nmi, 6) > 0.01 AND round(v, 6) > 0.12 THEN 'kept - both tests say it tracks the triage level'
- WHEN round(nmi, 6) > 0.01 THEN 'kept - mutual information ' || printf('%.5f', nmi) || ' is above the 0.01 threshold'
- ELSE 'kept - Cramer''s V ' || printf('%.3f', v) || ' is above the 0.12 cutoff, so its association with triage is too strong to drop, even though its MI is low' END"""
+REASON = """CASE WHEN is_stopword THEN 'removed' WHEN is_protected AND is_uninformative THEN 'guarded'
+ ELSE 'informative: ' || concat_ws(' ', CASE WHEN round(nmi, 6) > 0.01 THEN 'nmi=' || printf('%.5f', nmi) END,
+   CASE WHEN round(v, 6) > 0.12 THEN 'v=' || printf('%.3f', v) END) END"""
 
 # ---- splits --------------------------------------------------------------------------
 

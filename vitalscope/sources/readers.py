@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from ..functions import repair, text as tx
 from ..operators.similarity import check_unique_members, vector_contract
 from ..schemas import LABELLED, SCORING
 
@@ -37,6 +38,16 @@ def _cp1252(col: Column) -> Column:
     return F.translate(col, _CP1252_BYTES, _CP1252_CHARS)
 
 
+def _typed(col: Column, kind: T.DataType) -> Column:
+    """A cell as ``kind``; whole numbers written with a decimal point are integers too."""
+    col = tx.strip(col) if not isinstance(kind, T.StringType) else col
+    plain = col.try_cast(kind)
+    if not isinstance(kind, T.IntegralType):
+        return plain
+    number = repair.finite_number(col)
+    return F.coalesce(plain, F.when(number == F.floor(number), number).try_cast(kind))
+
+
 def read_table(
     spark: SparkSession, path: str, schema: T.StructType | None = None, encoding: str | None = None,
 ) -> DataFrame:
@@ -60,7 +71,7 @@ def read_table(
     if schema is None:
         return raw
     return raw.select(*[
-        (F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in names
+        (_typed(F.col(f"`{f.name}`"), f.dataType) if f.name in names
          else F.lit(None).cast(f.dataType)).alias(f.name)
         for f in schema.fields
     ])
@@ -77,7 +88,7 @@ def read_labelled(
     if text_column is not None:
         raw = raw.withColumn("Complaint_Text", F.col(text_column))
     return raw.select(*[
-        (F.col(f.name).try_cast(f.dataType) if f.name in raw.columns
+        (_typed(F.col(f.name).cast("string"), f.dataType) if f.name in raw.columns
          else F.lit(None).cast(f.dataType)).alias(f.name)
         for f in LABELLED.fields
     ])
@@ -112,7 +123,7 @@ def wide_clusters(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """A sheet with one cluster per column in long form: cluster, text; blanks dropped."""
     columns = columns or df.columns
     long = df.unpivot([], columns, "cluster", "text")
-    return long.filter(F.trim(F.coalesce("text", F.lit(""))) != "")
+    return long.filter(tx.strip(F.coalesce("text", F.lit(""))) != "")
 
 
 def read_vectors(
@@ -145,7 +156,7 @@ def read_stopwords(spark: SparkSession, path: str, preferred: str | None = None)
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """text: the lines of a file that are not blank."""
-    return spark.read.text(path).select(F.trim("value").alias("text")).filter(F.col("text") != "")
+    return spark.read.text(path).select(tx.strip(F.col("value")).alias("text")).filter(F.col("text") != "")
 
 
 def read_variants(spark: SparkSession, path: str) -> DataFrame:

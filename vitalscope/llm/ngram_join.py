@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, functions as F
 from vitalscope.operators.skew import lookup_join
 from vitalscope.session import small_side
 
-from .common import Words, blocks, mix, stored, window_hashes, with_id
+from .common import Words, blocks, fresh, mix, stored, window_hashes, with_id
 from .graph import components
 
 RATIO = 1.5  # of the sizes of neighbouring bands
@@ -290,9 +290,10 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", k
     Documents without words or doc_id stay, and of rows that repeat a doc_id one does.
     """
     found = stored(link_components(docs, key, text, k, share).filter("doc_id is not null"))
-    heads = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    (name,) = fresh(docs, "__id")
+    heads = found.filter("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
     own = F.col(f"`{key}`").cast("long")
-    kept = docs.filter(own.isNotNull()).join(heads, own == F.col("__id"), "left_semi")
+    kept = docs.filter(own.isNotNull()).join(heads, own == F.col(name), "left_semi")
     if not found.groupBy("doc_id").count().filter("count > 1").isEmpty():
         kept = kept.dropDuplicates([key])
     return kept.unionByName(docs.filter(own.isNull()))

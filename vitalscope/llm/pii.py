@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from vitalscope.operators.skew import lookup_join
 
-from .common import stored, with_id
+from .common import fresh, stored, with_id
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -232,9 +232,10 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
     All columns stay. Null texts stay null.
     """
-    added = added_spans(find(docs, key, text)).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("added").alias("__added"))
-    same = F.col(f"`{key}`").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(f"`{text}`").cast("string")) == F.col("__key"))
-    joined = docs.join(added, same, "left").drop("__id", "__key")
+    names = fresh(docs, "__id", "__key", "__added")
+    added = added_spans(find(docs, key, text)).toDF(*names)
+    same = F.col(f"`{key}`").cast("long").eqNullSafe(F.col(names[0])) & (F.xxhash64(F.col(f"`{text}`").cast("string")) == F.col(names[1]))
+    joined = docs.join(added, same, "left").drop(*names[:2])
     position = docs.columns.index(text)
 
     def run(batches):

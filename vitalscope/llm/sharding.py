@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import stored
+from .common import fresh, stored
 
 BITS = 60
 STEP = 8
@@ -104,10 +104,10 @@ def write_shards(df: DataFrame, path: str, limit: int, key: str = "doc_id", text
 
     Rows that share key and length go to the shard of their first copy.
     """
+    own, length, shard = fresh(df, "__key", "__bytes", "shard")
     place = assign(df, limit, key, text).filter("copy = 1").select(
-        F.col("doc_id").alias("__key"), F.col("bytes").alias("__bytes"),
-        F.concat_ws("-", "depth", "prefix").alias("shard"),
+        F.col("doc_id").alias(own), F.col("bytes").alias(length), F.concat_ws("-", "depth", "prefix").alias(shard),
     )
     size = F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0))
-    placed = df.join(place, F.col(f"`{key}`").eqNullSafe(F.col("__key")) & (size == F.col("__bytes")))
-    placed.drop("__key", "__bytes").repartition("shard").write.partitionBy("shard").parquet(path)
+    placed = df.join(place, F.col(f"`{key}`").eqNullSafe(F.col(own)) & (size == F.col(length)))
+    placed.drop(own, length).repartition(shard).write.partitionBy(shard).parquet(path)

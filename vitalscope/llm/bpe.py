@@ -92,44 +92,52 @@ class RankMap:
     def _group(self, a: int, b: int) -> int:
         return (a * _SPREAD_LEFT + b * _SPREAD_RIGHT >> 5) % self.groups
 
-    def merged(self, a: Column, b: Column) -> Column:
+    def literal(self) -> Column:
+        """Both tables as one literal; the plan holds it once."""
+        read = lambda text: F.split(F.lit(text), ",").cast("array<long>")
+        return F.struct(read(self._entries).alias("entries"), read(self._shifts).alias("shifts"))
+
+    def merged(self, tables: Column, a: Column, b: Column) -> Column:
         """The merged id of two neighbours, NONE if they don't merge."""
-        entries = F.split(F.lit(self._entries), ",").cast("array<long>")
-        shifts = F.split(F.lit(self._shifts), ",").cast("array<long>")
         a, b = a.cast("long"), b.cast("long")
         group = F.shiftright(a * F.lit(_SPREAD_LEFT) + b * F.lit(_SPREAD_RIGHT), 5).bitwiseAND(F.lit(self.groups - 1))
-        slot = (a * F.lit(_LEFT) + b * F.lit(_RIGHT) + F.get(shifts, group.cast("int"))).bitwiseAND(F.lit(self.size - 1))
-        entry = F.get(entries, slot.cast("int"))
+        shift = F.get(tables["shifts"], group.cast("int"))
+        slot = (a * F.lit(_LEFT) + b * F.lit(_RIGHT) + shift).bitwiseAND(F.lit(self.size - 1))
+        entry = F.get(tables["entries"], slot.cast("int"))
         same = F.shiftright(entry, 20) == F.shiftleft(a, 20).bitwiseOR(b)
         return F.when(same, entry.bitwiseAND(F.lit((1 << 20) - 1)).cast("int")).otherwise(F.lit(NONE))
 
-    def fold(self, ids: Column) -> Column:
-        """The ids left when no neighbours merge any more."""
-        def bound(value: Column, body) -> Column:
-            """``body`` of a value that is evaluated once."""
-            return F.element_at(F.transform(F.array(value), body), 1)
+    def fold(self, words: Column) -> Column:
+        """Every word's ids, left when no neighbours merge any more."""
+        return _bound(self.literal(), lambda tables: F.transform(words, lambda ids: self._fold(tables, ids)))
+
+    def _fold(self, tables: Column, ids: Column) -> Column:
+        nothing = F.array().cast("array<int>")
 
         def step(state: Column, _: Column) -> Column:
             ids, gaps = state["ids"], state["gaps"]
 
             def merge(best: Column) -> Column:
                 def at(i: Column) -> Column:
-                    token = F.array(best)
-                    left = F.when(i > 1, F.array(self.merged(F.get(ids, i - 2), best))).otherwise(F.array().cast("array<int>"))
-                    right = F.when(i < F.size(gaps), F.array(self.merged(best, F.get(ids, i + 1)))).otherwise(F.array().cast("array<int>"))
+                    left = F.when(i > 1, F.array(self.merged(tables, F.get(ids, i - 2), best))).otherwise(nothing)
+                    right = F.when(i < F.size(gaps), F.array(self.merged(tables, best, F.get(ids, i + 1)))).otherwise(nothing)
                     return F.struct(
-                        F.concat(F.slice(ids, 1, i - 1), token, F.slice(ids, i + 2, F.size(ids))).alias("ids"),
+                        F.concat(F.slice(ids, 1, i - 1), F.array(best), F.slice(ids, i + 2, F.size(ids))).alias("ids"),
                         F.concat(F.slice(gaps, 1, F.greatest(i - 2, F.lit(0))), left, right, F.slice(gaps, i + 2, F.size(ids))).alias("gaps"),
                     )
-                merged = bound(F.array_position(gaps, best).cast("int"), at)
+                merged = _bound(F.array_position(gaps, best).cast("int"), at)
                 return F.when(F.coalesce(best, F.lit(NONE)) == NONE, state).otherwise(merged)
-            return bound(F.array_min(gaps), merge)
+            return _bound(F.array_min(gaps), merge)
 
         few = F.size(ids) - 1
-        gaps = F.zip_with(F.slice(ids, 1, few), F.slice(ids, 2, few), self.merged)
+        gaps = F.zip_with(F.slice(ids, 1, few), F.slice(ids, 2, few), lambda a, b: self.merged(tables, a, b))
         start = F.struct(ids.alias("ids"), gaps.alias("gaps"))
-        steps = F.aggregate(F.sequence(F.lit(1), few), start, step, lambda s: s["ids"])
-        return F.when(few < 1, ids).otherwise(steps)
+        return F.when(few < 1, ids).otherwise(F.aggregate(F.sequence(F.lit(1), few), start, step, lambda s: s["ids"]))
+
+
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def _heap_merge(ids: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
@@ -273,6 +281,6 @@ def encode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text:
         "ids array<long>, counts binary, index binary, sizes binary, parts binary, words array<array<int>>",
     )
     ranked = RankMap(pairs)
-    folded = blocks.withColumn("words", F.transform("words", ranked.fold))
+    folded = blocks.withColumn("words", ranked.fold(F.col("words")))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, ids array<int>, decoded binary"
     return folded.mapInArrow(_gathered(tokens, not digests), schema)

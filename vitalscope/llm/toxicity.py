@@ -32,8 +32,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import LARGE_BLOCK, Vocabulary, blocks, stored, with_id
 
 TRAIN = 20_000
-STEM_LENGTHS = (4, 5, 6, 7)
-SHARE = 0.7  # least lower bound of a term's toxic share
+STEM_LENGTHS = (3, 4, 5, 6, 7)
+SHARE = 0.4  # least lower bound of a term's toxic share
 SURE = 2.6  # standard errors of the lower bound of a term's toxic share
 WINDOW = 6
 EDGE = ".,;:!?()[]{}'*_~-\"“”„«»‹›"
@@ -167,7 +167,7 @@ def _places(words: Vocabulary, wanted: dict, length: int | None) -> np.ndarray:
 
 
 def _contexts(wanted: dict):
-    """(place, context): the word before each wanted term or stem, once each for a block."""
+    """(place, context): the words around each wanted term or stem, once each for a block."""
     def run(batches):
         for batch in batches:
             for _, texts in blocks(batch.column(0), LARGE_BLOCK):
@@ -175,8 +175,9 @@ def _contexts(wanted: dict):
                 if not len(words.unit):
                     continue
                 hashed = np.array([hash_word(w) for w in words.words], np.int64)[words.unit]
-                before = np.concatenate([[0], hashed[:-1]])
-                before[words.first[:-1][np.diff(words.first) > 0]] = 0
+                near = hashed.astype(np.uint64)
+                around = near * np.uint64(3) + np.roll(near, 1) * np.uint64(5) + np.roll(near, -1) * np.uint64(7)
+                before = around.view(np.int64)
                 for length in (None, *STEM_LENGTHS):
                     place = _places(words, wanted, length)
                     pairs = np.unique(np.stack([place[place >= 0], before[place >= 0]]), axis=1)
@@ -215,19 +216,20 @@ def lower_bound(hits: float, n: float) -> float:
 def learn_lexicon(train: DataFrame) -> Lexicon:
     """Terms and stems from labelled texts (columns text, label).
 
-    Support in toxic documents is counted in different contexts (the word
-    before), so that the rare words of one text with many copies don't count.
+    Support in toxic documents is counted in different contexts (a hash of the
+    word and its neighbours), so that the rare words of one text with many copies don't count.
     Counts are summed in tasks before a shuffle. A term needs several toxic
     documents, so what reaches the driver is bounded by the training rows.
     """
     toxic, harmless = train.filter("label > 0").select("text", "label"), train.filter("label = 0").select("text")
     least = int(np.ceil(SURE * SURE))
     counted = toxic.mapInArrow(_counts, "term string, stem boolean, toxic long, clean long").groupBy("term", "stem").agg(F.sum("toxic").alias("n"))
-    frequent = [tuple(r) for r in counted.filter((F.col("n") >= least) & (F.length("term") > 2)).select("term", "stem").orderBy("term", "stem").collect()]
+    counted = counted.filter((F.col("n") >= least) & (F.length("term") > 2)).orderBy("term", "stem").collect()
+    frequent = [(r["term"], r["stem"]) for r in counted]
     wanted = {t: i for i, t in enumerate(frequent)}
     contexts = toxic.select("text").mapInArrow(_contexts(wanted), "place long, context long").distinct().groupBy("place").count()
     support = dict(contexts.filter(F.col("count") >= least).collect())
-    found = [(*frequent[i], n) for i, n in sorted(support.items())]
+    found = [(*frequent[i], min(n, counted[i]["n"])) for i, n in sorted(support.items())]
     wanted = {(t, s): i for i, (t, s, _) in enumerate(found)}
     counts = harmless.mapInArrow(_clean_counts(wanted), "place long, clean long")
     harmless = dict(counts.groupBy("place").agg(F.sum("clean")).collect())
@@ -264,7 +266,7 @@ def features(words: Vocabulary, lexicon: Lexicon, count: int) -> np.ndarray:
         at = np.flatnonzero(k)
         doc, w, quoted = words.doc[at], weight[words.unit[at]], inside[at]
         for column, chosen in enumerate(((k[at] == 1) & ~quoted, (k[at] == 2) & ~quoted, (k[at] == 3) & ~quoted, quoted)):
-            out[:, column] = np.log1p(np.bincount(doc[chosen], minlength=count))
+            out[:, column] = np.log1p(np.bincount(doc[chosen], np.maximum(w[chosen], 0.1), minlength=count))
         # Window score: the weights of the plain hits within WINDOW words, most for a text.
         plain = np.where(quoted, -0.5 * w, w)
         reach = np.concatenate([[0.0], np.cumsum(plain)])

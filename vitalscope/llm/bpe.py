@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import ranges, units, with_id
 
-BLOCK = 24 << 20
+BLOCK = 8 << 20
 LONG = 400
 NONE = (1 << 31) - 1
 _LEFT, _RIGHT = 1_000_003, 611_953  # factors of the slot; products stay below 2**63

@@ -36,9 +36,8 @@ from .common import ranges, units, with_id
 
 BLOCK = 8 << 20
 LONG = 400
-NONE = (1 << 31) - 1
-_LEFT, _RIGHT = 1_000_003, 611_953  # factors of the slot; products stay below 2**63
-_SPREAD_LEFT, _SPREAD_RIGHT = 7_368_787, 2_750_159
+NONE = 1 << 20  # above every id
+FAR = 10**9  # an offset that leads nowhere
 # White space beyond ASCII: texts with it are split whole, not unit by unit.
 _OTHER_SPACE = regex.compile(r"[\x1c-\x1f\x85\xa0  -     　]")
 
@@ -63,70 +62,75 @@ def pair_ids(tokens: list[bytes]) -> dict[tuple[int, int], int]:
 
 
 class RankMap:
-    """The pair table as folded literals: slot = (a * x + b * y + shift[group]) % size.
+    """The pair table as folded literals: rows of one left token each, laid into one array.
 
-    The shifts are chosen so that no two pairs share a slot; a lookup therefore
-    reads one shift and one entry, which holds pair and merged id in one number.
+    The entry of a pair is at offset[left] + right and names its left token, so
+    rows may fill each other's gaps. A lookup reads one offset and one entry.
     """
 
     def __init__(self, pairs: dict[tuple[int, int], int]) -> None:
-        self.size = 1 << max(6, int(np.ceil(np.log2(len(pairs) + 1))) + 1)
-        self.groups = max(1, self.size // 4)
-        groups: list[list[tuple[int, int]]] = [[] for _ in range(self.groups)]
-        for pair in pairs:
-            groups[self._group(*pair)].append(pair)
-        entries, shifts = [-1] * self.size, [0] * self.groups
-        for g in sorted(range(self.groups), key=lambda g: -len(groups[g])):
-            base = [a * _LEFT + b * _RIGHT for a, b in groups[g]]
-            shift = 0
-            while base:
-                slots = [(x + shift) % self.size for x in base]
-                if len(set(slots)) == len(slots) and all(entries[s] < 0 for s in slots):
+        rows: dict[int, list[int]] = {}
+        for left, right in pairs:
+            rows.setdefault(left, []).append(right)
+        tokens = 1 + max((max(p) for p in pairs), default=0)
+        taken = np.zeros(2 * len(pairs) + 4 * tokens, bool)
+        self.offsets = np.full(tokens, FAR, np.int64)
+        first = tokens  # below lies the room of offsets that would be negative
+        for left in sorted(rows, key=lambda x: (-len(rows[x]), x)):
+            own = np.array(sorted(rows[left]))
+            apart = own - own[0]
+            at = first
+            while True:  # the first place where all entries of the row are free
+                if at + tokens + 4096 > len(taken):
+                    taken = np.append(taken, np.zeros(len(taken), bool))
+                free = at + np.flatnonzero(~taken[at:at + 4096])
+                fits = free[~taken[free[:, None] + apart[1:]].any(1)] if len(apart) > 1 else free
+                if len(fits):
                     break
-                shift = shift * 5 + 1 if shift < 1 << 40 else shift % 999_983 + 1
-            for (a, b), x in zip(groups[g], base):
-                entries[(x + shift) % self.size] = (a << 40) | (b << 20) | pairs[a, b]
-            shifts[g] = shift
-        self._entries, self._shifts = ",".join(map(str, entries)), ",".join(map(str, shifts))
-
-    def _group(self, a: int, b: int) -> int:
-        return (a * _SPREAD_LEFT + b * _SPREAD_RIGHT >> 5) % self.groups
+                at += 4096
+            place = int(fits[0])
+            taken[place + apart] = True
+            self.offsets[left] = place - own[0]
+            if len(apart) == 1:
+                first = place + 1
+        entries = np.full(int(np.flatnonzero(taken)[-1]) + 1 if taken.any() else 1, -1, np.int64)
+        for (left, right), merged in pairs.items():
+            entries[self.offsets[left] + right] = left << 20 | merged
+        # Free places name no token; their sign is kept positive so that they stay above every id.
+        self.entries = np.where(entries < 0, 1 << 50, entries)
 
     def literal(self) -> Column:
         """Both tables as one literal; the plan holds it once."""
-        read = lambda text: F.split(F.lit(text), ",").cast("array<long>")
-        return F.struct(read(self._entries).alias("entries"), read(self._shifts).alias("shifts"))
-
-    def merged(self, tables: Column, a: Column, b: Column) -> Column:
-        """The merged id of two neighbours, NONE if they don't merge."""
-        a, b = a.cast("long"), b.cast("long")
-        group = F.shiftright(a * F.lit(_SPREAD_LEFT) + b * F.lit(_SPREAD_RIGHT), 5).bitwiseAND(F.lit(self.groups - 1))
-        shift = F.get(tables["shifts"], group.cast("int"))
-        slot = (a * F.lit(_LEFT) + b * F.lit(_RIGHT) + shift).bitwiseAND(F.lit(self.size - 1))
-        entry = F.get(tables["entries"], slot.cast("int"))
-        same = F.shiftright(entry, 20) == F.shiftleft(a, 20).bitwiseOR(b)
-        return F.when(same, entry.bitwiseAND(F.lit((1 << 20) - 1)).cast("int")).otherwise(F.lit(NONE))
+        read = lambda values, kind: F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast(kind)
+        return F.struct(read(self.offsets, "array<int>").alias("offsets"), read(self.entries, "array<long>").alias("entries"))
+
+    @staticmethod
+    def merged(tables: Column, left: Column, right: Column) -> Column:
+        """The merged id of two neighbours; null or a number from NONE on if they don't merge."""
+        entry = F.get(tables["entries"], F.get(tables["offsets"], left) + right)
+        return entry.bitwiseXOR(F.shiftleft(left.cast("long"), 20))
 
     def fold(self, words: Column) -> Column:
         """Every word's ids, left when no neighbours merge any more."""
         return _bound(self.literal(), lambda tables: F.transform(words, lambda ids: self._fold(tables, ids)))
 
     def _fold(self, tables: Column, ids: Column) -> Column:
-        nothing = F.array().cast("array<int>")
+        nothing = F.array().cast("array<long>")
 
         def step(state: Column, _: Column) -> Column:
             ids, gaps = state["ids"], state["gaps"]
 
             def merge(best: Column) -> Column:
                 def at(i: Column) -> Column:
-                    left = F.when(i > 1, F.array(self.merged(tables, F.get(ids, i - 2), best))).otherwise(nothing)
-                    right = F.when(i < F.size(gaps), F.array(self.merged(tables, best, F.get(ids, i + 1)))).otherwise(nothing)
+                    token = best.cast("int")
+                    left = F.when(i > 1, F.array(self.merged(tables, F.get(ids, i - 2), token))).otherwise(nothing)
+                    right = F.when(i < F.size(gaps), F.array(self.merged(tables, token, F.get(ids, i + 1)))).otherwise(nothing)
                     return F.struct(
-                        F.concat(F.slice(ids, 1, i - 1), F.array(best), F.slice(ids, i + 2, F.size(ids))).alias("ids"),
+                        F.concat(F.slice(ids, 1, i - 1), F.array(token), F.slice(ids, i + 2, F.size(ids))).alias("ids"),
                         F.concat(F.slice(gaps, 1, F.greatest(i - 2, F.lit(0))), left, right, F.slice(gaps, i + 2, F.size(ids))).alias("gaps"),
                     )
                 merged = _bound(F.array_position(gaps, best).cast("int"), at)
-                return F.when(F.coalesce(best, F.lit(NONE)) == NONE, state).otherwise(merged)
+                return F.when(best < NONE, merged).otherwise(state)
             return _bound(F.array_min(gaps), merge)
 
         few = F.size(ids) - 1

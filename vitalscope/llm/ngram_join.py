@@ -41,9 +41,9 @@ from .graph import components
 
 RATIO = 1.5  # of the sizes of neighbouring bands
 COUNTS = 64  # groups of the count vectors
-TILE, LEAF = 512, 16
+TILE, LEAF, SMALL = 512, 16, 128
+SLOT = 20_000  # rows of pages that one call compares
 FEW_PAGES = 500_000  # page numbers that are broadcast, 8 bytes each
-FEW_SETS = 200  # whole sets that are broadcast
 _A, _B, _C = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 
 
@@ -198,31 +198,75 @@ class RTree:
 
 
 def _across(share: int):
+    """Pairs across components that may link, in all pages (and tiles of large ones) of a slot."""
+    unpack = lambda c: np.frombuffer(b"".join(c), np.uint32).reshape(-1, COUNTS)
+
+    def runs(frame: pd.DataFrame):
+        """The frame sorted by page and tile, and the ranges of each."""
+        frame = frame.sort_values(["page", "i", "j"], kind="stable")
+        tile = frame[["page", "i", "j"]].to_numpy()
+        cuts = np.flatnonzero(np.append(True, (tile[1:] != tile[:-1]).any(1))) if len(tile) else np.zeros(0, int)
+        return frame, {tuple(tile[a]): (a, b) for a, b in zip(cuts, np.append(cuts[1:], len(tile)))}
+
     def run(key, every: pd.DataFrame, minor: pd.DataFrame) -> pd.DataFrame:
-        found = []
+        found = [np.zeros((0, 2), np.int64)]
         if len(every) and len(minor):
-            unpack = lambda c: np.frombuffer(b"".join(c), np.uint32).reshape(-1, COUNTS)
-            tree = RTree(unpack(every["point"]), every["n"].to_numpy())
-            node, comp = every["node"].to_numpy(), every["comp"].to_numpy()
-            for point, n, own, part in zip(unpack(minor["point"]), minor["n"], minor["node"], minor["comp"]):
-                near = tree.search(point, n, share)
-                near = near[comp[near] != part]
-                found.append(np.stack([np.minimum(node[near], own), np.maximum(node[near], own)], axis=1))
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+            (every, left), (minor, right) = runs(every), runs(minor)
+            p, q = unpack(every["point"]), unpack(minor["point"])
+            facts = [(f["n"].to_numpy(), f["node"].to_numpy(), f["comp"].to_numpy()) for f in (every, minor)]
+            for tile, (c, d) in right.items():
+                a, b = left.get(tile, (0, 0))
+                (n, node, comp), (m, own, part) = ([x[u:v] for x in f] for f, u, v in zip(facts, (a, c), (b, d)))
+                if b - a <= SMALL:
+                    fine = np.minimum(p[None, a:b], q[c:d, None]).sum(2) >= needed(m[:, None], n[None], share)
+                    j, i = np.nonzero(fine & (part[:, None] != comp[None]))
+                else:
+                    tree = RTree(p[a:b], n)
+                    near = [tree.search(q[c + k], int(m[k]), share) for k in range(d - c)]
+                    near = [x[comp[x] != part[k]] for k, x in enumerate(near)]
+                    i, j = np.concatenate(near), np.repeat(np.arange(d - c), [len(x) for x in near])
+                found.append(np.stack([np.minimum(node[i], own[j]), np.maximum(node[i], own[j])], axis=1))
+        pairs = np.unique(np.concatenate(found), axis=0)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
     return run
 
 
+def _common(share: int):
+    def run(key, pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+        own = dict(zip(sets["node"], sets["sets"]))
+        keep = []
+        for a, b in zip(pairs["a"], pairs["b"]):
+            linked = False
+            for x in own[a]:
+                for y in own[b]:
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    linked |= 100 * common >= share * (len(x) + len(y) - common)
+            keep.append(linked)
+        return pairs.loc[np.array(keep, bool), ["a", "b"]]
+    return run
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, k: int, share: int) -> DataFrame:
-    """The pairs (a, b) that link, by their whole sets."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    """The pairs (a, b) that link, by their whole sets.
+
+    Pairs that hang together form a family, cut into blocks of TILE / 2 documents; a
+    set travels once to each pair of blocks that needs it, not once per pair.
+    """
+    family = components(pairs)
+    sizes = family.groupBy("comp").agg(F.ceil(F.count("*") / (TILE // 2)).cast("int").alias("blocks"))
+    placed = lookup_join(family, sizes, "comp").select("node", "comp", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    placed = stored(placed)
+    of = lambda c: placed.select(F.col("node").alias(c), F.col("comp").alias(f"f{c}"), F.col("block").alias(f"o{c}"))
+    tiled = lookup_join(lookup_join(pairs, of("a"), "a", "inner"), of("b").drop("fb"), "b", "inner")
+    tiled = stored(tiled.select(F.col("fa").alias("f"), F.least("oa", "ob").alias("i"), F.greatest("oa", "ob").alias("j"), "a", "b"))
+    wanted = tiled.select("f", "i", "j", F.explode(F.array("a", "b")).alias("node")).distinct()
+    nodes = placed.select(F.col("node").alias("doc_id"))
     texts = docs.join(small_side(nodes, FEW_PAGES), "doc_id", "left_semi")
-    sets = stored(texts.mapInArrow(_sets(k), "node long, set array<long>"))
-    left, right = (sets.select(F.col("node").alias(c), F.col("set").alias(f"s{c}")) for c in "ab")
-    both = lookup_join(pairs, right, "b", "inner", FEW_SETS)
-    both = lookup_join(both, left, "a", "inner", FEW_SETS)
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(100 * common >= share * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct()
+    sets = texts.mapInArrow(_sets(k), "node long, set array<long>").groupBy("node").agg(F.collect_set("set").alias("sets"))
+    sent = wanted.join(sets, "node")
+    keys = ("f", "i", "j")
+    checked = tiled.groupBy(*keys).cogroup(sent.select(*[F.col(c).alias(c) for c in (*keys, "node", "sets")]).groupBy(*keys))
+    return checked.applyInPandas(_common(share), "a long, b long")
 
 
 def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, share: int = 90) -> DataFrame:
@@ -261,15 +305,18 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     parts = placed.groupBy("page", "comp").agg(F.count("*").alias("c"))
     split = parts.groupBy("page").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("m"), F.max("c").alias("most"))
     split = stored(split.filter("m > most").select(
-        "page", "main", F.ceil(F.col("m") / TILE).cast("int").alias("jb"), F.ceil((F.col("m") - F.col("most")) / TILE).cast("int").alias("ib")
+        "page", "main", "m", "most", F.ceil(F.col("m") / TILE).cast("int").alias("jb"), F.ceil((F.col("m") - F.col("most")) / TILE).cast("int").alias("ib")
     ))
     mixed = lookup_join(placed, split, "page", "inner").join(facts, "node")
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ("page", "i", "j", "node", "comp", "n", "point")
-    all_ = mixed.withColumn("j", own("jb")).withColumn("i", every("ib")).select(*columns)
-    minor = mixed.filter("comp != main").withColumn("i", own("ib")).withColumn("j", every("jb")).select(*[F.col(c).alias(c) for c in columns])
-    across = all_.groupBy("page", "i", "j").cogroup(minor.groupBy("page", "i", "j")).applyInPandas(_across(share), "a long, b long")
+    columns = ("slot", "page", "i", "j", "node", "comp", "n", "point")
+    slots = 1 + (split.agg(F.sum(F.col("m") * F.col("ib") + F.col("m") - F.col("most"))).first()[0] or 0) // SLOT
+    slot = F.pmod(F.xxhash64("page", "i", "j"), F.lit(slots))
+    all_ = mixed.withColumn("j", own("jb")).withColumn("i", every("ib")).withColumn("slot", slot).select(*columns)
+    minor = mixed.filter("comp != main").withColumn("i", own("ib")).withColumn("j", every("jb")).withColumn("slot", slot)
+    minor = minor.select(*[F.col(c).alias(c) for c in columns])
+    across = all_.groupBy("slot").cogroup(minor.groupBy("slot")).applyInPandas(_across(share), "a long, b long")
     more = stored(across.distinct().join(possible, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         label = components(links.unionByName(_verified(rows, more, k, share)))

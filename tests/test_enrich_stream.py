@@ -50,6 +50,48 @@ def test_cache_path_is_what_a_second_run_reads(spark, tmp_path):
     assert enrich.status_counts(second).first()["n_resumed"] == 303
 
 
+def counting(folder, die_on=None):
+    """A service that notes every text it is asked for, and may end its worker."""
+    def load():
+        import os
+
+        def call(texts):
+            for t in texts:
+                with open(f"{folder}/{t}", "a") as log:
+                    log.write("x")
+                if t == die_on:
+                    os._exit(1)
+            return [t.upper() for t in texts]
+        return call
+    return load
+
+
+def test_the_service_sees_each_text_once(spark, tmp_path):
+    import os
+
+    folder = tmp_path / "calls"
+    folder.mkdir()
+    out = enrich.enrich(rows(spark), cache(spark), "t", "v", "id", counting(str(folder)))
+    assert out.count() == 305 and enrich.status_counts(out).first()["n_translated"] == 304
+    assert {f: os.path.getsize(folder / f) for f in os.listdir(folder)} == {"hot": 1, "a": 1, "b": 1, "bad": 1}
+
+
+def test_a_job_that_dies_resumes_from_what_it_saved(spark, tmp_path):
+    import os
+
+    folder, path = tmp_path / "calls", str(tmp_path / "cache")
+    folder.mkdir()
+    many = spark.createDataFrame([(i, f"text{i}") for i in range(40)], "id long, t string")
+    with pytest.raises(Exception):
+        enrich.enrich(many, cache(spark), "t", "v", "id", counting(str(folder), "text7"), batch_rows=1, cache_path=path)
+    done = {r["t"] for r in spark.read.parquet(path).collect()}
+    assert done and "text7" not in done
+    before = {t: os.path.getsize(folder / t) for t in done}
+    out = enrich.enrich(many, cache(spark), "t", "v", "id", counting(str(folder)), batch_rows=1, cache_path=path)
+    assert enrich.status_counts(out).first()["n_translated"] == 40
+    assert {t: os.path.getsize(folder / t) for t in done} == before
+
+
 def test_sampled_run(spark):
     out = enrich.enrich(rows(spark), cache(spark), "t", "v", "id", service, sample=20)
     assert out.count() == 20

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as tx
+from ..session import checkpoint_dir
 from . import sampling
 from .skew import lookup_join
 
@@ -64,22 +66,45 @@ def call_service(
     return pending.select(text).mapInPandas(run, schema)
 
 
+def save_calls(
+    pending: DataFrame, text: str, value: str, load, path: str, batch_rows: int = 32, commits: int = 16,
+) -> DataFrame:
+    """Call the service once for every pending text and save the values at ``path``.
+
+    The texts go in ``commits`` parts by their digest, each committed before the next
+    starts, so a job that dies loses one part. Values that are saved there already
+    are not asked for again.
+    """
+    spark = pending.sparkSession
+    schema = f"`{text}` string, `{value}` string"
+    saved = lambda: spark.read.schema(schema).parquet(path)
+    spark.createDataFrame([], schema).write.mode("append").parquet(path)
+    waiting = f"{checkpoint_dir(spark).rstrip('/')}/pending-{uuid.uuid4().hex}"
+    pending.select(text).join(
+        usable_cache(saved(), text, value).select("text_key"), F.sha2(text, 256) == F.col("text_key"), "left_anti"
+    ).write.parquet(waiting)
+    texts = spark.read.schema(f"`{text}` string").parquet(waiting)
+    for part in range(commits):
+        own = texts.filter(F.pmod(F.xxhash64(text), F.lit(commits)) == part)
+        call_service(own, text, value, load, batch_rows).filter(F.col(value).isNotNull()).write.mode("append").parquet(path)
+    return saved()
+
+
 def enrich(
     rows: DataFrame, cache: DataFrame, text: str, value: str, key: str, load,
     sample: int | None = None, seed: int = 42, batch_rows: int = 32, cache_path: str | None = None,
 ) -> DataFrame:
     """Rows with the value and status resumed, translated or failed.
 
-    With ``cache_path`` new results are appended there before they are used,
-    so a run that dies is resumed from what it has written.
+    New results are saved before they are used, at ``cache_path`` or in the shared
+    folder, so the service sees every text once; a run that dies is resumed from
+    what it has saved at ``cache_path``.
     """
     if sample is not None:
         rows = sampling.sample_exactly(rows, key, sample, seed)
     filled = from_cache(rows, cache, text, value)
-    fresh = call_service(pending_texts(filled, text), text, value, load, batch_rows)
-    if cache_path:
-        fresh.filter(F.col(value).isNotNull()).write.mode("append").parquet(cache_path)
-        fresh = rows.sparkSession.read.parquet(cache_path)
+    path = cache_path or f"{checkpoint_dir(rows.sparkSession).rstrip('/')}/enriched-{uuid.uuid4().hex}"
+    fresh = save_calls(pending_texts(filled, text), text, value, load, path, batch_rows)
     new = usable_cache(fresh, text, value).withColumnRenamed(value, "_new")
     return (
         lookup_join(

@@ -37,7 +37,6 @@ from .common import ranges, units, with_id
 BLOCK = 8 << 20
 LONG = 400
 NONE = 1 << 20  # above every id
-FAR = 10**9  # an offset that leads nowhere
 # White space beyond ASCII: texts with it are split whole, not unit by unit.
 _OTHER_SPACE = regex.compile(r"[\x1c-\x1f\x85\xa0  -     　]")
 
@@ -74,7 +73,7 @@ class RankMap:
             rows.setdefault(left, []).append(right)
         tokens = 1 + max((max(p) for p in pairs), default=0)
         taken = np.zeros(2 * len(pairs) + 4 * tokens, bool)
-        self.offsets = np.full(tokens, FAR, np.int64)
+        self.offsets = np.full(tokens, -1, np.int64)
         first = tokens  # below lies the room of offsets that would be negative
         for left in sorted(rows, key=lambda x: (-len(rows[x]), x)):
             own = np.array(sorted(rows[left]))
@@ -96,12 +95,14 @@ class RankMap:
         entries = np.full(int(np.flatnonzero(taken)[-1]) + 1 if taken.any() else 1, -1, np.int64)
         for (left, right), merged in pairs.items():
             entries[self.offsets[left] + right] = left << 20 | merged
-        # Free places name no token; their sign is kept positive so that they stay above every id.
-        self.entries = np.where(entries < 0, 1 << 50, entries)
+        self.entries = entries
 
     def literal(self) -> Column:
         """Both tables as one literal; the plan holds it once."""
-        read = lambda values, kind: F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast(kind)
+        def read(values: np.ndarray, kind: str) -> Column:
+            """Negative values are free places: empty in the text, null in the array."""
+            return F.split(F.lit(",".join(str(v) if v >= 0 else "" for v in values.tolist())), ",").try_cast(kind)
+
         return F.struct(read(self.offsets, "array<int>").alias("offsets"), read(self.entries, "array<long>").alias("entries"))
 
     @staticmethod
@@ -144,32 +145,31 @@ def _bound(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _heap_merge(ids: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
+def _heap_merge(ids: list[int], tokens: list[bytes], whole: dict[bytes, int]) -> list[int]:
     """The same merges for one very long match, in n log n."""
+    def pair(a: int, b: int) -> int | None:
+        return whole.get(tokens[a] + tokens[b])
+
     after, before, alive = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1)), [True] * len(ids)
-    heap = [(m, i) for i in range(len(ids) - 1) if (m := pairs.get((ids[i], ids[i + 1]))) is not None]
+    heap = [(m, i) for i in range(len(ids) - 1) if (m := pair(ids[i], ids[i + 1])) is not None]
     heapq.heapify(heap)
     while heap:
         m, i = heapq.heappop(heap)
         j = after[i] if alive[i] else len(ids)
-        if j >= len(ids) or pairs.get((ids[i], ids[j])) != m:
+        if j >= len(ids) or pair(ids[i], ids[j]) != m:
             continue
         ids[i], alive[j], after[i] = m, False, after[j]
         if after[i] < len(ids):
             before[after[i]] = i
-            if (n := pairs.get((m, ids[after[i]]))) is not None:
+            if (n := pair(m, ids[after[i]])) is not None:
                 heapq.heappush(heap, (n, i))
-        if before[i] >= 0 and (n := pairs.get((ids[before[i]], m))) is not None:
+        if before[i] >= 0 and (n := pair(ids[before[i]], m)) is not None:
             heapq.heappush(heap, (n, before[i]))
     return [x for x, a in zip(ids, alive) if a]
 
 
-def _prepared(tokens: list[bytes], pattern: str, pairs: dict):
-    whole = {t: i for i, t in enumerate(tokens) if t}
-    single = [whole[bytes([b])] for b in range(256)]
-
-    def block(ids: list, texts: list[str]) -> pa.RecordBatch:
-        split = regex.compile(pattern)
+def _prepared(tokens: list[bytes], pattern: str):
+    def block(ids: list, texts: list[str], whole: dict, single: list, split) -> pa.RecordBatch:
         odd = {i for i, t in enumerate(texts) if _OTHER_SPACE.search(t)}
         pieces, counts = units(pa.array(["" if i in odd else t for i, t in enumerate(texts)], pa.large_string()))
         coded = pieces.dictionary_encode()
@@ -192,7 +192,7 @@ def _prepared(tokens: list[bytes], pattern: str, pairs: dict):
                 words.append([whole[raw]])
             else:
                 one = [single[b] for b in raw]
-                words.append(one if len(one) <= LONG else _heap_merge(one, pairs))
+                words.append(one if len(one) <= LONG else _heap_merge(one, tokens, whole))
         values = {
             "ids": pa.array([ids], pa.list_(pa.int64())),
             "counts": pa.array([np.asarray(counts, np.int64).tobytes()], pa.binary()),
@@ -204,18 +204,20 @@ def _prepared(tokens: list[bytes], pattern: str, pairs: dict):
         return pa.RecordBatch.from_pydict(values)
 
     def run(batches):
+        whole = {t: i for i, t in enumerate(tokens) if t}
+        tables = whole, [whole[bytes([b])] for b in range(256)], regex.compile(pattern)
         ids, texts, size = [], [], 0
         for batch in batches:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 t = t or ""
                 if texts and size + len(t) > BLOCK:
-                    yield block(ids, texts)
+                    yield block(ids, texts, *tables)
                     ids, texts, size = [], [], 0
                 ids.append(i)
                 texts.append(t)
                 size += len(t)
         if texts:
-            yield block(ids, texts)
+            yield block(ids, texts, *tables)
     return run
 
 
@@ -279,12 +281,11 @@ def encode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text:
     and of the decoded bytes, in place of ids (array<int>) and decoded (binary).
     """
     tokens = load_ranks(ranks)
-    pairs = pair_ids(tokens)
     blocks = with_id(docs, key, text).mapInArrow(
-        _prepared(tokens, pattern, pairs),
+        _prepared(tokens, pattern),
         "ids array<long>, counts binary, index binary, sizes binary, parts binary, words array<array<int>>",
     )
-    ranked = RankMap(pairs)
+    ranked = RankMap(pair_ids(tokens))
     folded = blocks.withColumn("words", ranked.fold(F.col("words")))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, ids array<int>, decoded binary"
     return folded.mapInArrow(_gathered(tokens, not digests), schema)

@@ -233,7 +233,9 @@ def _across(share: int):
 
 def _common(share: int):
     def run(key, pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
-        own = dict(zip(sets["node"], sets["sets"]))
+        own: dict[int, list] = {}
+        for node, one in zip(sets["node"], sets["set"]):
+            own.setdefault(node, []).append(one)  # several where rows repeat a doc_id
         keep = []
         for a, b in zip(pairs["a"], pairs["b"]):
             linked = False
@@ -262,10 +264,10 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, share: int) -> DataFram
     wanted = tiled.select("f", "i", "j", F.explode(F.array("a", "b")).alias("node")).distinct()
     nodes = placed.select(F.col("node").alias("doc_id"))
     texts = docs.join(small_side(nodes, FEW_PAGES), "doc_id", "left_semi")
-    sets = texts.mapInArrow(_sets(k), "node long, set array<long>").groupBy("node").agg(F.collect_set("set").alias("sets"))
+    sets = texts.mapInArrow(_sets(k), "node long, set array<long>")
     sent = wanted.join(sets, "node")
     keys = ("f", "i", "j")
-    checked = tiled.groupBy(*keys).cogroup(sent.select(*[F.col(c).alias(c) for c in (*keys, "node", "sets")]).groupBy(*keys))
+    checked = tiled.groupBy(*keys).cogroup(sent.select(*[F.col(c).alias(c) for c in (*keys, "node", "set")]).groupBy(*keys))
     return checked.applyInPandas(_common(share), "a long, b long")
 
 

@@ -84,3 +84,13 @@ def test_one_of_each_group_stays(spark):
     assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == [3, 7, 8, 9, None]
     assert kept.columns == docs_of(spark, rows).columns
     assert ngram_join.link_components(empty_docs(spark)).collect() == []
+
+
+def test_repeated_rows_keep_every_link(spark):
+    # The second and third of each family link to the first only, by different pages.
+    rows = []
+    for i in range(60):
+        base, *ends = ([f"f{i}{c}{j}" for j in range(n)] for c, n in (("x", 58), ("y", 6), ("z", 6)))
+        rows += [(10 * i + 5, " ".join(base)), (10 * i + 7, " ".join(base + ends[0])), (10 * i + 9, " ".join(ends[1] + base))]
+    got = ngram_join.link_components(docs_of(spark, rows + rows)).collect()
+    assert sorted_rows(got) == sorted_rows(brute(rows + rows, 3, 90))

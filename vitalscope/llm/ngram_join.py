@@ -10,7 +10,7 @@ groups than a linked pair can differ in elements, so that at least one group hol
 the very same elements in both. A page of the tree is therefore a size band, a
 group and the digest of the group's elements. Empty groups would be a page of
 strangers; a scheme has a few groups to spare, and a document sends its empty ones
-only if it has that many. Pages with the same members are kept once.
+only if it has that many. Pages with the same members, each as often, are kept once.
 
 Rounds: (1) every member of a page is compared with the page's smallest
 document; (2) where a page still holds several components, an R-tree over the
@@ -286,8 +286,12 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     copies = stored(lookup_join(slim, multiple, "tag", "inner").filter(same).filter("doc_id > node").select("doc_id", "n", "d1", "d2", "node"))
 
     on_page = taking_part.select("doc_id", F.explode("pages").alias("page"))
-    full = on_page.groupBy("page").agg(F.min("doc_id").alias("low"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("doc_id")).alias("who")).filter("m > 1")
-    kept = stored(full.groupBy("low", "m", "who").agg(F.min("page").alias("page")).select("page"))
+    # Which rows are on a page: sums of both halves of their hashes. Repeated rows add up, where an xor would cancel them.
+    half = lambda h: F.sum(F.expr(h))
+    full = on_page.withColumn("h", F.xxhash64("doc_id")).groupBy("page").agg(
+        F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), half("h & 4294967295L").alias("who"), half("shiftrightunsigned(h, 32)").alias("else")
+    ).filter("high > low")
+    kept = stored(full.groupBy("low", "high", "who", "else").agg(F.min("page").alias("page")).select("page"))
     members = stored(on_page.join(small_side(kept, FEW_PAGES), "page"))
     nodes = members.join(copies.select("doc_id", "node").distinct(), "doc_id", "left")
     members = stored(nodes.select("page", F.coalesce("node", "doc_id").alias("node")).distinct())

@@ -75,3 +75,19 @@ def test_payloads_and_damage(spark, tmp_path):
     for broken in (raw.replace(b"abc", b"abd"), raw.replace(b"WARC/1.1", b"WARC/9.9"), raw[:-1], raw + b"x"):
         with pytest.raises((ValueError, KeyError)):
             warc.parse(broken)
+
+
+def test_written_shards_fit_and_copies_spread(spark, tmp_path):
+    rows = [(i, "x" * (i % 50)) for i in range(300)] + [(7, "same")] * 200 + [(8, "some")] * 2 + [(None, None)] * 90 + [(-1, "")]
+    df = docs_of(spark, rows)
+    sharding.write_shards(df, str(tmp_path / "out"), 500)
+    folders = collections.defaultdict(list)
+    for r in spark.read.parquet(str(tmp_path / "out")).collect():
+        folders[r["shard"]].append((r["doc_id"], r["text"]))
+    assert sorted((x for f in folders.values() for x in f), key=repr) == sorted(rows, key=repr)
+    for members in folders.values():
+        assert len(members) == 1 or sum(len(t or "") for _, t in members) <= 500
+    assert sum((7, "same") in f for f in folders.values()) > 5
+    want = sharding.assign(df, 500).collect()
+    assert sorted(map(tuple, sharding.written(df, 500).collect()), key=repr) == sorted(map(tuple, want), key=repr)
+    assert sharding.written(empty_docs(spark), 500).collect() == []

@@ -23,7 +23,7 @@ def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
-    return sharding.assign(table(spark, folder, "documents"), SHARD_BYTES)
+    return sharding.written(table(spark, folder, "documents"), SHARD_BYTES)
 
 
 def op5_quality(spark: SparkSession, folder: str) -> DataFrame:

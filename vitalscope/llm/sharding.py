@@ -16,12 +16,19 @@ rows spreads like any other; one row above the limit is a shard of its own
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import uuid
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+
+from vitalscope.operators.skew import lookup_join
+from vitalscope.session import checkpoint_dir, small_side
 
 from .common import fresh, stored
 
 BITS = 60
 STEP = 8
+FACTS = ("depth", "prefix", "shard_bytes", "shard_rows")
 
 
 def _hash(text: Column) -> Column:
@@ -29,6 +36,10 @@ def _hash(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
+def _hashed() -> Column:
+    return _hash(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "bytes", "copy"))
+
+
 def _prefix(level: str | int) -> Column:
     return F.expr(f"shiftright(__h, {BITS} - {level})")
 
@@ -41,8 +52,7 @@ def keyed(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     )
     counted = slim.groupBy("doc_id", "bytes").agg(F.count("*").alias("__n"))
     copies = counted.select("doc_id", "bytes", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))).alias("copy"))
-    name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "bytes", "copy")
-    return copies.withColumn("__h", _hash(name))
+    return copies.withColumn("__h", _hashed())
 
 
 def directory(slim: DataFrame, limit: int) -> list[tuple[int, DataFrame]]:
@@ -88,26 +98,67 @@ def assign(df: DataFrame, limit: int, key: str = "doc_id", text: str = "text") -
     A shard is named by ``depth`` hash bits with the value ``prefix``.
     """
     slim = stored(keyed(df, key, text))
-    out = slim
-    facts = ("depth", "prefix", "shard_bytes", "shard_rows")
-    for i, (bits, cells) in enumerate(directory(slim, limit)):
-        named = cells.select(F.col("cell").alias(f"__c{i}"), *[F.col(c).alias(f"__{c}{i}") for c in facts])
-        out = out.join(named, _prefix(bits) == F.col(f"__c{i}"), "left")
-    levels = range(sum(c.startswith("__c") for c in out.columns))
-    return out.select(
-        "doc_id", "copy", "bytes", *[F.coalesce(*[F.col(f"__{c}{i}") for i in levels]).alias(c) for c in facts]
-    )
+    return _placed(slim, directory(slim, limit)).select("doc_id", "copy", "bytes", *FACTS)
+
 
+def _placed(rows: DataFrame, passes: list[tuple[int, DataFrame]]) -> DataFrame:
+    """``rows`` (with the hash __h) and the shard of each."""
+    out = rows
+    for i, (bits, cells) in enumerate(passes):
+        named = cells.select(F.col("cell").alias(f"__c{i}"), *[F.col(c).alias(f"__{c}{i}") for c in FACTS])
+        out = out.join(small_side(named), _prefix(bits) == F.col(f"__c{i}"), "left")
+    return out.select(*rows.columns, *[F.coalesce(*[F.col(f"__{c}{i}") for i in range(len(passes))]).alias(c) for c in FACTS])
 
-def write_shards(df: DataFrame, path: str, limit: int, key: str = "doc_id", text: str = "text") -> None:
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, bytes, row) with the copy number of each among the rows of its doc_id and bytes.
+
+    Only repeated rows are numbered, in chunks of 65,536 places of the table, so no
+    task gets a whole hot key. They are stored first, so that a lost task can't renumber them.
+    """
+    tagged = rows.withColumn("tag", F.xxhash64("doc_id", "bytes"))
+    repeated = stored(tagged.groupBy("tag", "doc_id", "bytes").count().filter("count > 1").select("tag").distinct())
+    alone = lookup_join(tagged, repeated, "tag", "left_anti").withColumn("copy", F.lit(1))
+    again = lookup_join(tagged, repeated, "tag", "left_semi").withColumn("at", F.monotonically_increasing_id())
+    again = stored(again.withColumn("chunk", F.shiftright("at", 16)))
+    group = ("tag", "doc_id", "bytes")
+    before = Window.partitionBy(*group).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = again.groupBy(*group, "chunk").count().withColumn("offset", F.coalesce(F.sum("count").over(before), F.lit(0)))
+    offsets = offsets.select(*[F.col(c).alias(f"__{c}") for c in (*group, "chunk")], "offset")
+    within = F.row_number().over(Window.partitionBy(*group, "chunk").orderBy("at"))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in (*group, "chunk")]
+    numbered = again.withColumn("number", within).join(offsets, same).withColumn("copy", (F.col("offset") + F.col("number")).cast("int"))
+    return alone.select("doc_id", "bytes", "row", "copy").unionByName(numbered.select("doc_id", "bytes", "row", "copy"))
+
+
+def write_shards(df: DataFrame, path: str, limit: int, key: str = "doc_id", text: str = "text", copy: str | None = None) -> None:
     """Write every row of ``df`` into the folder of its shard, one file each.
 
-    Rows that share key and length go to the shard of their first copy.
+    Equal rows go each to the shard of its own copy number, which a column ``copy`` can keep.
     """
-    own, length, shard = fresh(df, "__key", "__bytes", "shard")
-    place = assign(df, limit, key, text).filter("copy = 1").select(
-        F.col("doc_id").alias(own), F.col("bytes").alias(length), F.concat_ws("-", "depth", "prefix").alias(shard),
+    slim = stored(keyed(df, key, text))
+    size = F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).cast("long")
+    rows = _numbered(df.select(F.col(f"`{key}`").alias("doc_id"), size.alias("bytes"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")))
+    placed = _placed(rows.withColumn("__h", _hashed()), directory(slim, limit))
+    (shard,) = fresh(df, "shard")
+    kept = [F.col("copy").alias(copy)] if copy else []
+    out = placed.select("row.*", *kept, F.concat_ws("-", "depth", "prefix").alias(shard))
+    out.repartition(shard).write.partitionBy(shard).parquet(path)
+
+
+def written(df: DataFrame, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Like ``assign``, from the shards as they were written: the sums are those of the rows in each folder."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/shards-{uuid.uuid4().hex}"
+    copy, shard = fresh(df, "copy", "shard")
+    write_shards(df, path, limit, key, text, copy)
+    schema = StructType([df.schema[key], df.schema[text], StructField(copy, IntegerType()), StructField(shard, StringType())])
+    rows = spark.read.schema(schema).parquet(path)
+    part = F.split(F.col(shard), "-")
+    rows = rows.select(
+        F.col(f"`{key}`").alias("doc_id"), F.col(copy).alias("copy"),
+        F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).cast("long").alias("bytes"),
+        part[0].cast("int").alias("depth"), part[1].cast("long").alias("prefix"),
     )
-    size = F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0))
-    placed = df.join(place, F.col(f"`{key}`").eqNullSafe(F.col(own)) & (size == F.col(length)))
-    placed.drop(own, length).repartition(shard).write.partitionBy(shard).parquet(path)
+    sums = rows.groupBy("depth", "prefix").agg(F.sum("bytes").alias("shard_bytes"), F.count("*").alias("shard_rows"))
+    return rows.join(small_side(sums), ["depth", "prefix"]).select("doc_id", "copy", "bytes", *FACTS)

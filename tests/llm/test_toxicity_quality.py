@@ -86,3 +86,16 @@ def test_additive_model_learns_an_interaction():
     model = quality.Additive(x, y)
     assert {i for i, j, _ in model.pairs} | {j for i, j, _ in model.pairs} >= {0, 1}
     assert ((model.score(x) >= 0.5) == y).mean() > 0.9
+
+
+def test_misspellings_of_terms_that_a_stem_covers(spark):
+    random.seed(7)
+    ends = ["lichkeit", "lichsten", "lungen", "barkeit"]
+    fill = lambda: " ".join(f"plain{random.randrange(300)}" for _ in range(6))
+    rows = [(f"{fill()} ach{ends[i % 4]} {fill()}", 1) for i in range(240)] + [(f"{fill()} {fill()}", 0) for _ in range(240)]
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, label int").repartition(3))
+    assert "ach" in lexicon.stems and set(lexicon.terms) >= {"ach" + e for e in ends}
+    for end in ends:
+        assert lexicon.match("ach" + end)[0] == 2
+        assert lexicon.match("ahc" + end)[0] == lexicon.match("xch" + end)[0] == 3
+    assert lexicon.match("zebra")[0] == 0

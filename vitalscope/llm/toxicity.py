@@ -2,7 +2,7 @@
 
 1. Lexicon: on labelled documents, terms and word beginnings (stems) whose share of
    toxic documents is high with confidence go into a trie.
-2. Matching: a word is a hit if it is a term, begins with a stem, or a
+2. Matching: a word is a hit if it begins with a stem, is a term, or a
    Levenshtein automaton of the word, run along the trie, reaches a term within
    one edit (two from nine letters on). Each distinct word of a block is matched once.
 3. Context: every hit is judged in a window of words around it. Hits inside
@@ -89,11 +89,11 @@ class Lexicon:
 
     def match(self, word: str) -> tuple[int, float]:
         """(kind, weight): 0 no hit, 1 term, 2 stem, 3 misspelled term."""
-        if word in self.terms:
+        stem = next((word[:n] for n in self.lengths if word[:n] in self.stems), None)
+        if word in self.terms and stem in (None, word):
             return 1, self.terms[word]
-        for n in self.lengths:
-            if word[:n] in self.stems and len(word) >= n:
-                return 2, self.stems[word[:n]]
+        if stem is not None:
+            return 2, self.stems[stem]
         size = len(word)
         if (
             any(size in d.get(word[:n], ()) for n, d in self.heads.items())
@@ -243,11 +243,9 @@ def learn_lexicon(train: DataFrame) -> Lexicon:
         total = n + harmless.get(i, 0)
         if lower_bound(n, total) > SHARE and not (stem and alone.get(term, 0) > 0.8 * n):
             (stems if stem else terms)[term] = float(np.log((n + 0.5) / (total - n + 0.5)))
-    # What a shorter stem covers adds nothing.
-    covered = lambda w, ends: any(w[:k] in stems for k in range(1, ends))
-    terms = {t: w for t, w in terms.items() if not covered(t, len(t))}
-    stems = {t: w for t, w in stems.items() if not covered(t, len(t))}
-    return Lexicon(terms, stems)
+    # A stem that a shorter one covers adds nothing. A term that it covers does: its misspellings.
+    short = {t: w for t, w in stems.items() if not any(t[:k] in stems for k in range(1, len(t)))}
+    return Lexicon(terms, short)
 
 
 def features(words: Vocabulary, lexicon: Lexicon, count: int) -> np.ndarray:

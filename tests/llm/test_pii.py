@@ -74,3 +74,25 @@ def test_redaction(spark):
     assert clean.columns == docs_of(spark, rows).columns and clean.count() == len(rows)
     assert got[2] == "Text 2. Write to mailbox: [EMAIL] today, line 2 ends." and got[300] is None and got[302] == LONG
     assert got[101] == "Please write to mailbox: [EMAIL] today, thanks."
+
+
+def test_spaced_phones_and_cards_behind_learned_contexts(spark):
+    random.seed(8)
+    digits = lambda n: "".join(random.choice("0123456789") for _ in range(n))
+
+    def card(fine):
+        while True:
+            d = digits(16)
+            if pii.luhn(d) == fine:
+                return " ".join(d[i:i + 4] for i in range(0, 16, 4))
+    rows = [(i, f"Reach {i}: call me at +49 30 {digits(3)} {digits(4)} today") for i in range(60)]
+    rows += [(100 + i, f"Order {i}: charged card number {card(True)} yesterday") for i in range(60)]
+    phones = [f"0171 555 01{i}3" if i % 2 else f"(555) 555-01{i}0" for i in range(6)]
+    cards = [card(False) for _ in range(6)]
+    rows += [(200 + i, f"Please call me at {p} today") for i, p in enumerate(phones)]
+    rows += [(300 + i, f"I charged card number {c} yesterday") for i, c in enumerate(cards)]
+    rows += [(400 + i, f"sizes are {digits(3)} {digits(3)} {digits(4)} in all") for i in range(20)]
+    got = {r["doc_id"]: r["text"] for r in pii.redact(docs_of(spark, rows)).collect()}
+    assert all(got[200 + i] == "Please call me at [PHONE] today" for i in range(6))
+    assert all(got[300 + i] == "I charged card number [CARD] yesterday" for i in range(6))
+    assert all(got[i] == t for i, t in rows if i >= 400)

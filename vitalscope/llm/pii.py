@@ -1,7 +1,8 @@
 """Personal data by base patterns and bootstrapped contextual extraction.
 
 Base spans (e-mail, IP, card, phone) are the seeds. Every word with a digit or an
-``@`` is a possible identifier, and its surroundings are lexical patterns: the
+``@`` is a possible identifier, and so is a run of digit groups over several words
+(``DIGITS`` digits, as a phone or a card may have). A possible identifier's surroundings are lexical patterns: the
 words before and after, a key before ``=`` or ``:`` and the word's letter shape.
 Patterns and identifiers form a graph. Spark scores it in rounds: a pattern is as
 good for a kind as the share of its identifiers that belong to the kind, and an
@@ -35,6 +36,7 @@ SUPPORT = 5  # different identifiers of a kind that a pattern needs
 GOOD = 0.7  # least share of the kind among a pattern's identifiers
 ACCEPT = 0.95
 LONGEST = 64  # letters of an identifier that the method adds
+DIGITS = {"phone": (7, 15), "card": (12, 19)}  # digits of a run of groups
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -43,6 +45,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _POSSIBLE = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
+_GROUPS = re.compile(r"(?<![^\x20\x09-\x0D=:\"'\[(])\(?[0-9]+(?:(?:\x20\(?|[.-]|\)[\x20-]?|\()[0-9]+)+")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGE = ".,;:!?()[]{}<>'\"*"
 
@@ -135,6 +138,15 @@ def identifiers(text: str, base: list[tuple[int, str, int]]) -> list[tuple[str,
         if 6 <= end - start <= LONGEST:
             value = text[start:end]
             out.append((value.lower(), None, start, end, _patterns(text, start, end, value)))
+    i = 0
+    for m in _GROUPS.finditer(text) if " " in text else ():
+        start, end = m.span()
+        while i < len(taken) and taken[i][1] <= start:
+            i += 1
+        whole = end == len(text) or text[end] in _EDGE or text[end] in " \t\n\x0b\x0c\r"
+        digits = sum("0" <= c <= "9" for c in m[0])
+        if " " in m[0] and whole and not (i < len(taken) and taken[i][0] < end) and any(a <= digits <= b for a, b in DIGITS.values()):
+            out.append((m[0], None, start, end, _patterns(text, start, end, m[0])))
     return out
 
 
@@ -190,7 +202,9 @@ def accepted(items: DataFrame) -> DataFrame:
         )
     seen = scores.join(seeds.select("value").distinct(), "value", "left_anti").filter(F.col("score") >= ACCEPT)
     best = seen.groupBy("value").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
-    return best
+    digits = F.length(F.regexp_replace("value", "[^0-9]", ""))
+    runs = [(F.col("kind") == k) & digits.between(*bounds) for k, bounds in DIGITS.items()]
+    return best.filter(~F.contains("value", F.lit(" ")) | runs[0] | runs[1])
 
 
 def added_spans(found: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, decontaminate, ngram_join, pii, quality, sharding, substring, toxicity, warc
+from . import ann, bpe, conversations, decontaminate, ngram_join, pii, quality, sharding, substring, toxicity, warc
 from .common import table
 
 SHARD_BYTES = 1 << 20
@@ -53,6 +53,10 @@ def op10_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return ann.search(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op11_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(table(spark, folder, "conversations")), times="times")
+
+
 QUERIES = {
     "op1_substrings": op1_substrings,
     "op2_toxicity": op2_toxicity,
@@ -64,6 +68,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_pii": op9_pii,
     "op10_neighbours": op10_neighbours,
+    "op11_conversations": op11_conversations,
 }
 
 SQL = {

@@ -128,7 +128,7 @@ def test_one_conversation_over_many_segments(spark, rows, monkeypatch):
 def test_block_lookups_equal_single_steps():
     import numpy as np
 
-    t, rng = conversations.tables(), random.Random(5)
+    t, rng = conversations.Tables(), random.Random(5)
     for n in range(0, 30):
         symbols = [rng.randrange(conversations.SYMBOLS) for _ in range(n)]
         for end in range(len(t.vectors)):

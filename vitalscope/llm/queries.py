@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, conversations, decontaminate, ngram_join, pii, quality, sharding, substring, toxicity, warc
+from . import ann, bpe, conversations, decontaminate, divergence, ngram_join, pii, quality, sharding, substring, toxicity, warc
 from .common import table
 
 SHARD_BYTES = 1 << 20
@@ -57,6 +57,10 @@ def op11_conversations(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.repair(conversations.damaged(table(spark, folder, "conversations")), times="times")
 
 
+def op12_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_substrings": op1_substrings,
     "op2_toxicity": op2_toxicity,
@@ -69,6 +73,7 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_neighbours": op10_neighbours,
     "op11_conversations": op11_conversations,
+    "op12_divergence": op12_divergence,
 }
 
 SQL = {
@@ -136,4 +141,33 @@ SQL = {
             CASE WHEN l.page_id > r.page_id THEN 'revisit' ELSE 'response' END AS record_type,
             CASE WHEN l.page_id > r.page_id THEN l.page_id END AS refers_to
         FROM rows r JOIN last l USING (hex)""",
+    "op12_divergence": """
+        WITH words AS (
+            SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+            FROM (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                coalesce(text, '') AS text FROM documents)),
+        kept AS (SELECT lang, term, count(*) AS total FROM words GROUP BY 1, 2 HAVING count(DISTINCT r) >= 3),
+        groups AS (SELECT DISTINCT coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+        counted AS (SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+        every AS (
+            SELECT g.lang, g.source, k.term, k.total, coalesce(c.n, 0) AS n
+            FROM groups g JOIN kept k USING (lang) LEFT JOIN counted c USING (lang, source, term)),
+        shares AS (
+            SELECT *, 1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER g + count(*) OVER g)::HUGEINT AS p,
+                1 + (1000000000::HUGEINT * (total + 1)) // (sum(total) OVER g + count(*) OVER g)::HUGEINT AS q
+            FROM every WINDOW g AS (PARTITION BY lang, source)),
+        pairs AS (
+            SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+            FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source != b.source GROUP BY 1, 2, 3),
+        found AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+            FROM groups a JOIN groups b ON a.lang = b.lang AND a.source != b.source
+            LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+            UNION ALL
+            SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM shares WHERE n > 0 AND p > q)
+        SELECT * FROM (
+            SELECT lang, source, part, item, value,
+                (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM found)
+        WHERE part = 'pair' OR rank <= 200""",
 }

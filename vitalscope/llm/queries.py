@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, conversations, decontaminate, divergence, ngram_join, pii, quality, sharding, substring, toxicity, warc
+from . import ann, bpe, conversations, decontaminate, divergence, ngram_join, pii, quality, sharding, simhash, substring, toxicity, warc
 from .common import table
 
 SHARD_BYTES = 1 << 20
@@ -61,6 +61,10 @@ def op12_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.audit(table(spark, folder, "documents"))
 
 
+def op13_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_substrings": op1_substrings,
     "op2_toxicity": op2_toxicity,
@@ -74,6 +78,7 @@ QUERIES = {
     "op10_neighbours": op10_neighbours,
     "op11_conversations": op11_conversations,
     "op12_divergence": op12_divergence,
+    "op13_simhash": op13_simhash,
 }
 
 SQL = {

@@ -6,12 +6,11 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import vectors as vx
-from .tiles import (
-    DIGITS, Tile, centred_units, cross_tiles, over_tiles, self_tiles, units,
-)
+from .pivots import CELL_ROWS, nearest
+from .tiles import DIGITS, Tile, centred_units, over_tiles, self_tiles, units
 
 # Fixed value: strictly above this a pair counts as seen as similar.
 THRESHOLD = 0.5
@@ -313,84 +312,37 @@ def compare_arms(left: DataFrame, right: DataFrame, names=("a", "b")) -> DataFra
     return wide.withColumn("gap_change", F.col(f"gap_{b}") - F.col(f"gap_{a}"))
 
 
-def _tile_best(tile: Tile, both_sides: bool) -> pd.DataFrame:
-    """Best partner in this tile of every left row and, with ``both_sides``, of
-    every right row, with the clusters of both."""
-    ux, uy = units(tile.x), units(tile.y)
-    left, right = tile.left["key"].to_numpy(), tile.right["key"].to_numpy()
-    lc, rc = tile.left["c"].to_numpy(), tile.right["c"].to_numpy()
-    value, at = np.full(len(left), -np.inf), np.zeros(len(left), dtype=np.int64)
-    back, back_at = np.full(len(right), -np.inf), np.zeros(len(right), dtype=np.int64)
-    for rows in tile.stripes():
-        sims = np.round(ux[rows] @ uy.T, DIGITS)
-        if tile.same:
-            sims[np.arange(rows.stop - rows.start), np.arange(rows.start, rows.stop)] = -np.inf
-        # Rows come sorted by key: the first maximum has the smallest key.
-        at[rows] = sims.argmax(axis=1)
-        value[rows] = sims[np.arange(len(sims)), at[rows]]
-        if both_sides and not tile.same:
-            first = sims.argmax(axis=0)
-            found = sims[first, np.arange(sims.shape[1])]
-            better = found > back
-            back_at = np.where(better, first + rows.start, back_at)
-            back = np.where(better, found, back)
-
-    def table(keys, own, values, others, classes, chosen):
-        return pd.DataFrame({
-            "key": keys, "true_cluster": own, "similarity": values,
-            "neighbour": others[chosen], "neighbour_cluster": classes[chosen],
-        })
-
-    best = table(left, lc, value, right, rc, at)
-    if both_sides and not tile.same:
-        best = pd.concat([best, table(right, rc, back, left, lc, back_at)])
-    return best[np.isfinite(best["similarity"])]
-
-
-def _nearest(tiles: DataFrame, cross: bool) -> DataFrame:
-    types = dict(tiles.dtypes)
-    found = over_tiles(
-        tiles, lambda tile: _tile_best(tile, both_sides=not cross),
-        f"key {types['key']},true_cluster {types['c']},similarity double,"
-        f"neighbour {types['key']},neighbour_cluster {types['c']}",
-        cross=cross,
-    )
-    order = F.struct(-F.col("similarity"), F.col("neighbour"))
-    best = found.groupBy("key", "true_cluster").agg(
-        F.min_by(F.struct("neighbour", "neighbour_cluster", "similarity"), order).alias("best")
-    )
-    return best.select("key", "true_cluster", "best.*")
-
-
 def nearest_closed(
-    df: DataFrame, key: str, vector: str, cluster: str, block_rows: int = 4096
+    df: DataFrame, key: str, vector: str, cluster: str, block_rows: int = CELL_ROWS
 ) -> DataFrame:
     """Each row's most similar other row: key, cluster, neighbour, similarity, hit.
 
-    Ties go to the smallest key. Clusters travel with the tiles, so a row that
-    is the neighbour of very many others is never a join key.
+    Ties go to the smallest key. Clusters travel with the corpus rows, so a row that
+    is the neighbour of very many others is never a join key. A row is compared
+    only with cells that can hold its neighbour (``pivots``).
     """
-    labelled = df.withColumn("c", F.col(cluster))
-    best = _nearest(
-        self_tiles(labelled, key, vector, keep=("c",), block_rows=block_rows), cross=False
-    )
-    return best.select(
-        "key", "true_cluster", "neighbour", "neighbour_cluster", "similarity",
-        (F.col("true_cluster") == F.col("neighbour_cluster")).alias("same_meaning"),
+    found = nearest(
+        df.select(F.col(key).alias("key"), F.col(cluster).alias("true_cluster"), F.col(vector).alias("v")),
+        df.select(F.col(key).alias("key"), F.col(cluster).alias("c"), F.col(vector).alias("v")),
+        "key", "v", 1, "c", skip_own=True, cell_rows=block_rows,
+    ).filter("size(best) > 0")
+    best = F.col("best")[0]
+    return found.select(
+        "key", "true_cluster", best["key"].alias("neighbour"), best["c"].alias("neighbour_cluster"),
+        (-best["minus"]).alias("similarity"), (F.col("true_cluster") == best["c"]).alias("same_meaning"),
     )
 
 
 def nearest_open(
-    closed: DataFrame, df: DataFrame, pool: DataFrame, key: str, vector: str, block_rows: int = 4096
+    closed: DataFrame, df: DataFrame, pool: DataFrame, key: str, vector: str, block_rows: int = CELL_ROWS
 ) -> DataFrame:
     """Add the winner once ``pool`` rows compete; the closed neighbour wins ties."""
-    none = F.lit(None).cast("string")
-    tiles = cross_tiles(
-        df.withColumn("c", none), pool.withColumn("c", none), key, vector, ("c",), block_rows
-    )
-    out = _nearest(tiles, cross=True).select(
-        "key", F.col("similarity").alias("pool_similarity"), F.col("neighbour").alias("pool_key")
-    )
+    found = nearest(
+        df.select(F.col(key).alias("key"), F.col(vector).alias("v")), pool.select(F.col(key).alias("key"), F.col(vector).alias("v")),
+        "key", "v", 1, cell_rows=block_rows,
+    ).filter("size(best) > 0")
+    best = F.col("best")[0]
+    out = found.select("key", (-best["minus"]).alias("pool_similarity"), best["key"].alias("pool_key"))
     stays = F.col("pool_similarity").isNull() | (F.col("similarity") >= F.col("pool_similarity"))
     return (
         closed.join(out, "key", "left")
@@ -423,35 +375,15 @@ def misses(neighbours: DataFrame, n: int = 10) -> DataFrame:
 
 def top_similar(
     queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int = 5,
-    block_rows: int = 4096,
+    block_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """The ``k`` most similar corpus rows of every query: query, rank, neighbour, similarity."""
-    key_type = dict(queries.dtypes)[key]
-
-    def top(tile: Tile) -> pd.DataFrame:
-        ux, uy = units(tile.x), units(tile.y)
-        right, parts = tile.right["key"].to_numpy(), []
-        left = tile.left["key"].to_numpy()
-        for rows in tile.stripes():
-            sims = np.round(ux[rows] @ uy.T, DIGITS)
-            order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-            parts.append(pd.DataFrame({
-                "query": np.repeat(left[rows], order.shape[1]),
-                "similarity": np.take_along_axis(sims, order, axis=1).ravel(),
-                "neighbour": right[order.ravel()],
-            }))
-        return pd.concat(parts)
-
-    tiles = cross_tiles(queries, corpus, key, vector, block_rows=block_rows)
-    found = over_tiles(
-        tiles, top, f"query {key_type},similarity double,neighbour {key_type}", cross=True
-    )
-    # At most k rows per query and tile reach this window.
-    window = Window.partitionBy("query").orderBy(F.desc("similarity"), "neighbour")
-    return (
-        found.withColumn("rank", F.row_number().over(window))
-        .filter(F.col("rank") <= k)
-        .select("query", "rank", "neighbour", "similarity")
+    side = lambda df: df.select(F.col(key).alias("key"), F.col(vector).alias("v"))
+    found = nearest(side(queries), side(corpus), "key", "v", k, cell_rows=block_rows)
+    ranked = found.select(F.col("key").alias("query"), F.posexplode("best").alias("place", "best"))
+    return ranked.select(
+        "query", (F.col("place") + 1).alias("rank"), F.col("best")["key"].alias("neighbour"),
+        (-F.col("best")["minus"]).alias("similarity"),
     )
 
 

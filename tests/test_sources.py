@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from vitalscope.lexicon import REVIEW_WORDS
 from vitalscope.operators import evaluation, stopwords as sw
@@ -145,7 +146,74 @@ def test_results_split_and_run_date(spark, tmp_path):
 
 def test_quoted_line_breaks_are_found(spark, tmp_path):
     plain = put(tmp_path / "p.csv", 'a,b\n"x ""y""",1\n')
-    assert readers.inspect_text(spark, plain) == ("UTF-8", False)
+    assert list(readers.inspect_text(spark, plain)) == [("UTF-8", False)]
     crossing = put(tmp_path / "c.csv", 'a,b\n"x\ny",1\n')
-    assert readers.inspect_text(spark, crossing) == ("UTF-8", True)
+    assert list(readers.inspect_text(spark, crossing)) == [("UTF-8", True)]
     assert [tuple(r) for r in readers.read_table(spark, crossing).collect()] == [("x\ny", "1")]
+
+
+def test_a_mixed_folder_reads_every_cell_right(spark, tmp_path):
+    folder = tmp_path / "mixed set.csv"
+    folder.mkdir()
+    put(folder / "a.csv", 'name,n\nérable,1\n"two\nlines",2\n')
+    (folder / "b 1.csv").write_bytes("name,n\ncafé €,3\n".encode("windows-1252"))
+    put(folder / "c.csv", "\ufeffname,n\nplain,4\n")
+    (folder / "d.csv").write_bytes('name,n\n"naïve\n""x""",5\n'.encode("windows-1252"))
+    put(folder / "e.csv", "name,more\nwith more,6\n")
+    put(folder / "f.csv", "")
+    groups = readers.inspect_text(spark, str(folder))
+    assert {k: len(v) for k, v in groups.items()} == {
+        ("UTF-8", True): 1, ("ISO-8859-1", False): 1, ("UTF-8", False): 2, ("ISO-8859-1", True): 1}
+    assert readers.detect_encoding(spark, str(folder)) == "ISO-8859-1"
+    folder.joinpath("e.csv").unlink()  # files of a group share a header
+    got = readers.read_table(spark, str(folder))
+    assert sorted((r["n"], r["name"]) for r in got.collect()) == [
+        ("1", "érable"), ("2", "two\nlines"), ("3", "café €"), ("4", "plain"), ("5", 'naïve\n"x"')]
+
+
+def test_row_ids_follow_the_files(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.range(5000).repartitionByRange(7, "id").write.parquet(path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("4k", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = readers.in_file_order(spark.read.parquet(path), "no").collect()
+            assert sorted(r["no"] for r in got) == list(range(1, 5001))
+            assert all(r["no"] == r["id"] + 1 for r in got)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    plan = readers.in_file_order(spark.read.parquet(path))._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan
+
+
+def test_sets_are_seen_whole_or_not_at_all(spark, tmp_path):
+    path = str(tmp_path / "set")
+    with pytest.raises(FileNotFoundError):
+        writers.read_set(spark, path)
+    first = {"report": spark.range(3), "overall": spark.range(1)}
+    assert writers.write_set(first, path) == 1
+    broken = spark.range(4).select(F.when(F.col("id") == 3, F.raise_error(F.lit("killed"))).otherwise(F.col("id")).alias("id"))
+    with pytest.raises(Exception, match="killed"):
+        writers.write_set({"report": spark.range(9), "overall": broken}, path)
+    assert {n: df.count() for n, df in writers.read_set(spark, path).items()} == {"report": 3, "overall": 1}
+    assert writers.write_set({"report": spark.range(5)}, path) == 2
+    assert {n: df.count() for n, df in writers.read_set(spark, path).items()} == {"report": 5}
+    assert set(writers.read_set(spark, path, 1)) == {"report", "overall"}
+
+
+def test_report_sets(spark, tmp_path):
+    path = str(tmp_path / "similar")
+    rows = [(i, "ab"[i % 2], f"text {i}", [float(i % 3), 1.0, float(i)]) for i in range(8)]
+    df = spark.createDataFrame(rows, "id int, dept string, text string, v array<double>")
+    writers.write_similarity_reports(df, "id", "v", "dept", path, "text")
+    got = writers.read_set(spark, path)
+    assert set(got) == {"groups", "pairs", "rows"} and got["pairs"].count() == 2 * 6 and got["rows"].columns == ["id", "dept", "text"]
+    from pyspark.ml.functions import array_to_vector
+
+    from vitalscope.operators import models
+
+    many = df.withColumn("id", F.explode(F.sequence(F.col("id") * 10, F.col("id") * 10 + 9))).withColumn("features", array_to_vector("v"))
+    reports = {"dept": models.fit_target(many.drop("text"), "dept", "id")}
+    writers.write_target_reports(reports, str(tmp_path / "targets"))
+    assert set(writers.read_set(spark, str(tmp_path / "targets"))) == {f"dept_{n}" for n in ("report", "overall", "confusion", "predictions")}

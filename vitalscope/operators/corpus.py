@@ -224,3 +224,16 @@ def record_contradictions(
         F.when((level <= 2) & _contains_any(low, reassurance), "reassurance_at_high_acuity")
     )
     return F.array_distinct(F.array_compact(F.array(*checks)))
+
+
+def usable_rows(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows that have a value in all of ``columns``, white space of any kind stripped from the text ones.
+
+    A null, empty or blank cell is no value.
+    """
+    types = dict(df.dtypes)
+    own = {c: tx.strip(F.col(c)) for c in columns if types[c] == "string"}
+    kept = df.withColumns(own) if own else df
+    for c in columns:
+        kept = kept.filter(F.col(c).isNotNull() & (F.col(c) != "") if c in own else F.col(c).isNotNull())
+    return kept

@@ -184,6 +184,11 @@ def most_accurate(results: DataFrame, order: str = "ord") -> DataFrame:
     return results.orderBy(F.desc("accuracy"), "under_triage_pct", order).limit(1)
 
 
+def best_by_macro_f1(summary: DataFrame, order: str = "ord") -> DataFrame:
+    """The model with the highest mean macro F1 over its folds; of equal ones the first."""
+    return summary.orderBy(F.desc("macro_f1_mean"), order).limit(1)
+
+
 def override_cost(results: DataFrame, method: str, tolerance: float = SAFETY_TOLERANCE) -> DataFrame:
     """What choosing ``method`` by hand costs against the automatic choice."""
     auto = select_method(results, tolerance)

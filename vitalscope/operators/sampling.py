@@ -74,8 +74,19 @@ def sample_exactly(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame
     return df.orderBy(digest(F.col(key), seed), key).limit(n)
 
 
+# Up to this many rows per group each task passes on its first ones only (a limit of Spark's own).
+TOP_ROWS = 999
+
+
 def sample_per_group(df: DataFrame, key: str, group: str, n: int, seed: int = 42) -> DataFrame:
-    return ranked(df, key, group, seed, "_rank").filter(F.col("_rank") <= n).drop("_rank")
+    """``n`` rows of each group in seeded order, or all of a smaller one.
+
+    Every task keeps the first ``n`` of its rows per group, and only these are shuffled and ranked.
+    """
+    if n > TOP_ROWS:
+        return ranked(df, key, group, seed, "_rank").filter(F.col("_rank") <= n).drop("_rank")
+    order = Window.partitionBy(group).orderBy(digest(F.col(key), seed), key)
+    return df.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= n).drop("_rank")
 
 
 def meaning_clusters(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import repair, text as tx, vectors as vx
 from ..lexicon import REVIEW_WORDS, TERM_WEIGHTS, Lexicon
-from ..operators import corpus, enrich, evaluation, features, models, sampling, similarity, stopwords
+from ..operators import corpus, enrich, evaluation, features, models, sampling, similarity, stopwords, wide
 from ..operators.bilingual import BilingualPreprocessor
 from ..operators.fuzzy_table import close_matches
 from ..operators.normalize import Normalizer
@@ -73,11 +73,12 @@ def df_cutoff(spark, folder):
 
 
 def stopword_stats(spark, folder):
-    return token_stats(spark, folder).select(
+    return stopwords.with_p_value(token_stats(spark, folder)).select(
         "token", "document_count",
         F.round("document_frequency", 4).alias("document_frequency"),
         F.round("nmi", 6).alias("nmi"), F.round("cramers_v", 6).alias("cramers_v"),
         F.round("chi_square", 4).alias("chi_square"), "chi_square_dof",
+        F.round("p_value", 6).alias("p_value"),
         "is_high_frequency", "is_uninformative", "is_protected", "is_stopword",
     )
 
@@ -510,7 +511,7 @@ def method_predictions(spark, folder):
             ("status", F.when(F.col("o_orderstatus") == "F", 1).otherwise(2)),
         ])
     ])
-    return orders.select(label.alias("label"), F.explode(ways).alias("w")).select("label", "w.*")
+    return orders.select("o_orderkey", label.alias("label"), F.explode(ways).alias("w")).select("o_orderkey", "label", "w.*")
 
 
 def order_cells(spark, folder):
@@ -599,6 +600,15 @@ def fold_summary(spark, folder):
     return _rounded(out, 6, *[c for c in out.columns if c != "safety_grade"])
 
 
+def best_macro_f1(spark, folder):
+    """The way to predict an order's class with the highest mean macro F1 over five folds."""
+    ways = method_predictions(spark, folder)
+    folds = ways.withColumn("fold", F.pmod("o_orderkey", F.lit(5)).cast("int"))
+    out = evaluation.fold_summary(evaluation.fold_metrics(folds, by=("ord", "method")), by=("ord", "method"))
+    best = evaluation.best_by_macro_f1(out).select("method", "macro_f1_mean", "macro_f1_std", "accuracy_mean")
+    return _rounded(best, 6, "macro_f1_mean", "macro_f1_std", "accuracy_mean")
+
+
 # ---- numbers, categories, guards ------------------------------------------------------------------------
 
 def messy_events(spark, folder):
@@ -689,12 +699,30 @@ def wide_to_long(spark, folder):
 
 
 def generic_structured(spark, folder):
-    """Column split of a table by type, with what was fitted per column."""
+    """The block of all columns of a table, split by type: scaled numbers and the place of each flag."""
     rows = table(spark, folder, "part")
-    s = features.generic_structured(rows.drop("p_name", "p_type"), exclude=("p_partkey",))
-    shown = [(c, "numeric", round(s.medians[c], 4), 0) for c in s.numeric]
-    shown += [(c, "categorical", None, len(s.classes[c])) for c in s.categorical]
-    return spark.createDataFrame(shown, "name string, kind string, median double, n_classes int")
+    s = wide.generic_structured(rows, exclude=("p_partkey",))
+    out, at = s.add_codes(rows), len(s.numeric)
+    shown = [F.round(s.scaled(c), 6).alias(c) for c in s.numeric]
+    for c in s.categorical:
+        shown.append((F.col(f"{c}_code") + at).alias(f"{c}_at"))
+        at += s.sizes[c]
+    return out.select("p_partkey", *shown, F.lit(s.size).cast("long").alias("n_features"))
+
+
+def usable_rows(spark, folder):
+    """Documents with a text, language and source, stripped; some cells are blanked first."""
+    docs = table(spark, folder, "documents").select(
+        "doc_id", F.concat(F.lit(" \t"), "lang", F.lit(" \n")).alias("lang"),
+        F.when(F.col("doc_id") % 5 != 0, F.col("source")).alias("source"),
+        F.when(F.col("doc_id") % 7 == 0, "  \t").otherwise(F.col("text")).alias("text"),
+    )
+    return corpus.usable_rows(docs, ["lang", "source", "text"]).select("doc_id", "lang", "source")
+
+
+def display_row_ids(spark, folder):
+    """Orders numbered as they stand in the file."""
+    return readers.in_file_order(table(spark, folder, "orders")).select("o_orderkey", "row_id")
 
 
 # ---- enrichment ----------------------------------------------------------------------------------------------

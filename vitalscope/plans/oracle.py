@@ -81,6 +81,9 @@ stat{t} AS (
 
 
 STATS = f"WITH {LABELS}, {stats_ctes()}"
+# The lower tail as a sum of positive terms, each from the log-gamma function.
+P_VALUE = """round(CASE WHEN dof <= 0 OR chi2 <= 0 THEN 1 ELSE greatest(0, 1 - list_sum(list_transform(range(0, 3000),
+  lambda i: exp((dof / 2.0 + i) * ln(chi2 / 2) - chi2 / 2 - lgamma(dof / 2.0 + i + 1))))) END::DOUBLE, 6)"""
 REASON = """CASE WHEN is_stopword THEN 'removed' WHEN is_protected AND is_uninformative THEN 'guarded'
  ELSE 'informative: ' || concat_ws(' ', CASE WHEN round(nmi, 6) > 0.01 THEN 'nmi=' || printf('%.5f', nmi) END,
    CASE WHEN round(v, 6) > 0.12 THEN 'v=' || printf('%.3f', v) END) END"""
@@ -248,7 +251,7 @@ def queries_sql() -> dict[str, str]:
       round(document_count::DOUBLE / (SELECT count(*) FROM documents), 8) AS document_frequency FROM freq"""
     sql["df_cutoff"] = f"WITH {FREQ} SELECT round(quantile_cont(document_count::DOUBLE, 0.75), 6) AS count_cutoff FROM freq"
     sql["stopword_stats"] = f"""{STATS} SELECT token, document_count, round(df, 4) AS document_frequency, round(nmi, 6) AS nmi,
-      round(v, 6) AS cramers_v, round(chi2, 4) AS chi_square, dof AS chi_square_dof, is_high_frequency, is_uninformative, is_protected, is_stopword FROM stat"""
+      round(v, 6) AS cramers_v, round(chi2, 4) AS chi_square, dof AS chi_square_dof, {P_VALUE} AS p_value, is_high_frequency, is_uninformative, is_protected, is_stopword FROM stat"""
     sql["stopword_list"] = f"{STATS} SELECT token FROM stat WHERE is_stopword ORDER BY token"
     sql["stopword_reasons"] = f"{STATS} SELECT token, {REASON} AS reason FROM stat"
     sql["stopword_except"] = f"""WITH {LABELS}, lt AS (SELECT doc_id, label FROM documents JOIN lab USING (doc_id)),
@@ -365,6 +368,7 @@ def queries_sql() -> dict[str, str]:
     sql["separation_gap"] = f"""WITH {VEC}, p AS (SELECT a.label = b.label AS same, {CLIP} AS s FROM vec a JOIN vec b ON a.vec_id < b.vec_id)
       SELECT count_if(same) AS within_pairs, count_if(NOT same) AS across_pairs, round(avg(s) FILTER (same), 6) AS within_mean, round(avg(s) FILTER (NOT same), 6) AS across_mean,
         round(min(s) FILTER (same), 6) AS within_min, round(max(s) FILTER (same), 6) AS within_max, round(min(s) FILTER (NOT same), 6) AS across_min,
+        round(median(round(s, 4)) FILTER (same), 6) AS within_median, round(median(round(s, 4)) FILTER (NOT same), 6) AS across_median,
         round(max(s) FILTER (NOT same), 6) AS across_max, round(avg(s) FILTER (same) - avg(s) FILTER (NOT same), 6) AS separation_gap FROM p"""
     sql["group_similarity"] = f"""WITH {VEC}, {CEN}, {WITHIN}, g AS (SELECT cluster AS "group", count(*) AS n_pairs, avg(raw) AS m, median(round(raw, 4)) AS md, min(round(raw, 4)) AS lo, max(round(raw, 4)) AS hi FROM pair GROUP BY cluster)
       SELECT label AS "group", count(*) AS n_rows, any_value(n_pairs) AS n_pairs, round(any_value(m), 4) AS mean_similarity, round(any_value(md), 4) AS median_similarity,
@@ -455,9 +459,27 @@ def queries_sql() -> dict[str, str]:
       SELECT c_custkey, round(x, 4) AS filled, round((x - (SELECT avg(x) FROM f)) / (SELECT stddev_pop(x) FROM f), 6) AS scaled FROM f"""
     sql["onehot"] = f"""WITH c AS (SELECT c_custkey, dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS code FROM customer)
       SELECT c_custkey, CAST(code AS INTEGER) AS code, {', '.join(f'CASE WHEN code = {i} THEN 1.0 ELSE 0.0 END::DOUBLE AS is_{i}' for i in range(5))} FROM c"""
-    sql["generic_structured"] = """SELECT 'p_size' AS name, 'numeric' AS kind, round(quantile_cont(p_size::DOUBLE, 0.5), 4) AS median, 0::BIGINT AS n_classes FROM part
-      UNION ALL SELECT 'p_retailprice', 'numeric', round(quantile_cont(p_retailprice, 0.5), 4), 0 FROM part
-      UNION ALL SELECT 'p_brand', 'categorical', NULL, count(DISTINCT p_brand) FROM part"""
+    code = lambda c: f"dense_rank() OVER (ORDER BY {c}) - 1"
+    width = lambda c: f"(SELECT count(DISTINCT {c}) FROM part)"
+    scaled = lambda c: f"round(({c} - (SELECT avg({c}) FROM part)) / (SELECT stddev_pop({c}) FROM part), 6)"
+    sql["generic_structured"] = f"""SELECT p_partkey, {scaled('p_size')} AS p_size, {scaled('p_retailprice')} AS p_retailprice, {code('p_name')} + 2 AS p_name_at,
+      {code('p_brand')} + 2 + {width('p_name')} AS p_brand_at, {code('p_type')} + 2 + {width('p_name')} + {width('p_brand')} AS p_type_at,
+      2 + {width('p_name')} + {width('p_brand')} + {width('p_type')} AS n_features FROM part"""
+    sql["usable_rows"] = "SELECT doc_id, lang, source FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 7 <> 0 AND trim(text, ' \t\n\r') <> '' AND source <> '' AND lang <> ''"
+    sql["display_row_ids"] = "SELECT o_orderkey, row_number() OVER () AS row_id FROM orders"
+    sql["best_macro_f1"] = f"""WITH {METHODS.split("raw AS (")[0].replace(" FROM orders", ", CAST(o_orderkey % 5 AS INTEGER) AS fold FROM orders").rstrip().rstrip(",")},
+      kk AS (SELECT ord, method, fold, label AS class FROM ways UNION SELECT ord, method, fold, prediction FROM ways),
+      f AS (SELECT k.ord, k.method, k.fold, k.class, count_if(w.label = class)::DOUBLE AS s, count_if(w.prediction = class)::DOUBLE AS p, count_if(w.label = class AND w.prediction = class)::DOUBLE AS tp
+        FROM kk k JOIN ways w ON w.ord = k.ord AND w.fold = k.fold GROUP BY ALL),
+      macro AS (SELECT ord, method, fold, avg(CASE WHEN tp > 0 THEN 2 * (tp / p) * (tp / s) / (tp / p + tp / s) ELSE 0 END) AS m FROM f GROUP BY ALL),
+      acc AS (SELECT ord, fold, 100.0::DOUBLE * count_if(prediction = label) / count(*) AS a FROM ways GROUP BY ALL)
+      SELECT method, round(avg(m), 6) AS macro_f1_mean, round(stddev_pop(m), 6) AS macro_f1_std, round(avg(a), 6) AS accuracy_mean
+      FROM macro JOIN acc USING (ord, fold) GROUP BY ord, method ORDER BY avg(m) DESC, ord LIMIT 1"""
+    each = " UNION ALL ".join(
+        f"SELECT '{m}' AS model, '{t}' AS target, CAST((r - 1) % 5 AS INTEGER) AS fold, CAST({t} AS INTEGER) AS label FROM rk_{t}"
+        for m in ("LogisticRegression", "RandomForest", "HistGradientBoosting") for t in ("level", "label"))
+    sql["cv_coverage"] = f"""WITH v AS (SELECT vec_id, label, label % 4 AS level FROM embeddings), rk_level AS ({ranked('v', 'vec_id', 'level')}),
+      rk_label AS ({ranked('v', 'vec_id', 'label')}) SELECT model, target, fold, label, count(*) AS n, count(*) AS n_different FROM ({each}) GROUP BY ALL"""
     sql["cache_enrich"] = f"WITH {CACHE} SELECT conv_id, turn, translation, status FROM filled"
     sql["pending_rows"] = f"WITH {CACHE} SELECT text, count(*) AS n_rows FROM filled WHERE status = 'pending' GROUP BY text"
     sql["enrich_status"] = f"""WITH {CACHE} SELECT count(*) AS n_rows, count_if(status = 'resumed') AS n_resumed, count_if(status = 'pending') AS n_pending,
@@ -465,8 +487,7 @@ def queries_sql() -> dict[str, str]:
     sql["enrich_run"] = f"""WITH {CACHE} SELECT conv_id, turn, coalesce(translation, CASE WHEN length(text) < 400 THEN nullif(reverse(text), '') END) AS translation,
       CASE WHEN status = 'resumed' THEN status WHEN length(text) < 400 AND trim(text) <> '' THEN 'translated' ELSE 'failed' END AS status FROM filled"""
     weights = values("tw", "ord, k, w", [(i, k, w) for i, (k, w) in enumerate(TERM_WEIGHTS.items())])
-    vw100, vc100 = VOCAB_WORD.replace("LIMIT 350", "LIMIT 100"), VOCAB_CHAR.replace("LIMIT 350", "LIMIT 100")
-    sql["bow_features"] = f"""WITH {vw100}, {vc100}, {weights}, v AS (SELECT 'w' AS b, term FROM vw UNION ALL SELECT 'c', term FROM vc),
+    sql["bow_features"] = f"""WITH {VOCAB_WORD}, {VOCAB_CHAR}, {weights}, v AS (SELECT 'w' AS b, term FROM vw UNION ALL SELECT 'c', term FROM vc),
       m AS (SELECT b, term, w, row_number() OVER (PARTITION BY b, term ORDER BY length(k) DESC, ord) AS r FROM v JOIN tw ON
         CASE WHEN length(k) >= {SUBSTRING_KEY} THEN contains(term, k) ELSE list_contains({tokens_of('term')}, k) END),
       f AS (SELECT v.b, v.term, coalesce(m.w, 1.0)::DOUBLE AS w FROM v LEFT JOIN m ON m.b = v.b AND m.term = v.term AND m.r = 1),

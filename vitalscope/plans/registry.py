@@ -22,7 +22,7 @@ _NAMES = [
     "vector_profile", "vector_contract", "vector_cosines", "pca_2d", "block_scale",
     "confusion_matrix", "confusion_wide", "triage_errors", "class_rates", "error_patterns",
     "class_report", "report_averages", "method_table", "method_selection", "method_override",
-    "baseline_delta", "method_ablation", "fold_metrics", "fold_summary",
+    "baseline_delta", "method_ablation", "fold_metrics", "fold_summary", "best_macro_f1", "usable_rows", "display_row_ids",
     "repair_numeric", "range_flags", "safe_category", "no_text_guard", "passage_prefix",
     "level_labels", "median_impute_scale", "onehot", "generic_structured", "wide_to_long",
     "cache_enrich", "pending_rows", "enrich_status", "enrich_run",

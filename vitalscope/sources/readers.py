@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions import repair, text as tx
 from ..operators.similarity import check_unique_members, vector_contract
@@ -15,23 +17,45 @@ _CP1252_CHARS = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š
 _BOM = "\ufeff"
 
 
-def inspect_text(spark: SparkSession, path: str) -> tuple[str, bool]:
-    """Encoding of a file and whether quoted cells run over several lines.
+def inspect_text(spark: SparkSession, path: str) -> dict[tuple[str, bool], list[str]]:
+    """The files of a path by encoding and by whether quoted cells run over several lines.
 
-    One pass by the executors: UTF-8 when every line is valid UTF-8, else
-    ISO-8859-1. When every line has an even number of quotes no cell crosses a
-    line end, and the file may be split for reading.
+    One pass by the executors, one row per file: UTF-8 when every line is valid UTF-8,
+    else ISO-8859-1. When every line has an even number of quotes no cell crosses a
+    line end, and the file may be split for reading. Files without a line are left out.
     """
     quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    facts = spark.read.text(path).agg(
-        F.coalesce(F.bool_or(~F.is_valid_utf8("value")), F.lit(False)).alias("bad"),
-        F.coalesce(F.bool_or(quotes % 2 == 1), F.lit(False)).alias("crossing"),
-    ).first()
-    return ("ISO-8859-1" if facts["bad"] else "UTF-8"), facts["crossing"]
+    facts = spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(
+        F.bool_or(~F.is_valid_utf8("value")).alias("bad"), F.bool_or(quotes % 2 == 1).alias("crossing"),
+    )
+    out: dict[tuple[str, bool], list[str]] = {}
+    for row in facts.orderBy("file").collect():
+        out.setdefault(("ISO-8859-1" if row["bad"] else "UTF-8", row["crossing"]), []).append(unquote(row["file"]))
+    return out
 
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
-    return inspect_text(spark, path)[0]
+    """ISO-8859-1 where any file of the path is not UTF-8."""
+    return max((e for e, _ in inspect_text(spark, path)), key=lambda e: e != "UTF-8", default="UTF-8")
+
+
+def in_file_order(df: DataFrame, out: str = "row_id", first: int = 1) -> DataFrame:
+    """Number the rows of a table read from files: by file name, then as they stand in it.
+
+    A row's place in its file or split is known to the task that reads it; the splits' row
+    counts, one row each, are added up before them. No row is sorted or shuffled. Call it on
+    the table as read, before filters or joins.
+    """
+    file, start = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    # The id holds the partition and the place in it; a split's rows follow each other.
+    at = F.monotonically_increasing_id()
+    placed = df.select("*", file.alias("_file"), start.alias("_start"), at.alias("_at"))
+    splits = placed.groupBy("_file", "_start").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select("_file", "_start", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    named = placed.join(F.broadcast(offsets), ["_file", "_start"])
+    return named.withColumn(out, F.col("_before") + F.col("_at") - F.col("_first") + first).drop(
+        "_file", "_start", "_at", "_first", "_before")
 
 
 def _cp1252(col: Column) -> Column:
@@ -48,26 +72,36 @@ def _typed(col: Column, kind: T.DataType) -> Column:
     return F.coalesce(plain, F.when(number == F.floor(number), number).try_cast(kind))
 
 
+def _read_group(spark: SparkSession, files: list[str], encoding: str, crossing: bool) -> DataFrame:
+    """Files of one encoding, as text columns."""
+    raw = spark.read.option("header", True).option("encoding", encoding).option(
+        "multiLine", crossing
+    ).option("escape", '"').csv(files)
+    names = [c.lstrip(_BOM).removeprefix("\u00ef\u00bb\u00bf") for c in raw.columns]
+    raw = raw.toDF(*names)
+    if encoding != "UTF-8":
+        raw = raw.select(*[_cp1252(F.col(f"`{c}`")).alias(c) for c in names])
+    return raw
+
+
 def read_table(
     spark: SparkSession, path: str, schema: T.StructType | None = None, encoding: str | None = None,
 ) -> DataFrame:
     """A CSV or TXT table with a header, every column as text unless a schema is given.
 
-    Columns are matched by header name. Bytes that are not UTF-8 are read as
-    windows-1252; a byte-order mark is dropped from the first header.
+    Columns are matched by header name. Every file is read by its own encoding and quoting: one that
+    is not UTF-8 as windows-1252, and only those with quoted line ends unsplit. A byte-order
+    mark is dropped from the first header.
     """
     suffix = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if suffix not in ("csv", "txt"):
         raise ValueError(f"unsupported file type {suffix!r}; use csv or txt")
-    found, crossing = inspect_text(spark, path)
-    encoding = encoding or found
-    raw = spark.read.option("header", True).option("encoding", encoding).option(
-        "multiLine", crossing
-    ).option("escape", '"').csv(path)
-    names = [c.lstrip(_BOM).removeprefix("\u00ef\u00bb\u00bf") for c in raw.columns]
-    raw = raw.toDF(*names)
-    if encoding != "UTF-8":
-        raw = raw.select(*[_cp1252(F.col(f"`{c}`")).alias(c) for c in names])
+    groups = inspect_text(spark, path) or {("UTF-8", False): [path]}
+    raw = None
+    for (found, crossing), files in groups.items():
+        part = _read_group(spark, files, encoding or found, crossing)
+        raw = part if raw is None else raw.unionByName(part, allowMissingColumns=True)
+    names = raw.columns
     if schema is None:
         return raw
     return raw.select(*[

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators import similarity
 from ..operators.stopwords import Thresholds, protected_hits, review_recommended, stopword_list
 
 # Disclosure of data without a provenance record.
@@ -18,6 +20,8 @@ UNKNOWN_PROVENANCE = {
     ),
 }
 
+MANIFEST = "number long, folder string, tables array<string>"
+
 
 def _flat(df: DataFrame) -> DataFrame:
     """Nested columns as JSON text, which CSV can hold."""
@@ -45,6 +49,62 @@ def write_sheets(tables: dict[str, DataFrame], path: str, form: str = "csv") ->
     return [write_table(df, f"{path}/{name}.{form}") for name, df in tables.items()]
 
 
+def write_set(tables: dict[str, DataFrame], path: str) -> int:
+    """Write several tables that belong together; readers see all of them or the former set.
+
+    The tables go to a folder of their own first. One appended row of ``manifests`` then names it,
+    and that row appears by a single commit. Returns the set's number. A run that ends before leaves
+    the former set in force and an unnamed folder behind.
+    """
+    if not tables:
+        raise ValueError("a set needs a table")
+    spark = next(iter(tables.values())).sparkSession
+    folder = f"set-{uuid.uuid4().hex}"
+    for name, df in tables.items():
+        df.write.parquet(f"{path}/{folder}/{name}")
+    number = 1 + max((r["number"] for r in _manifests(spark, path)), default=0)
+    row = [(number, folder, sorted(tables))]
+    spark.createDataFrame(row, MANIFEST).coalesce(1).write.mode("append").json(f"{path}/manifests")
+    return number
+
+
+def read_set(spark: SparkSession, path: str, number: int | None = None) -> dict[str, DataFrame]:
+    """The tables of the last set, or of the given one."""
+    rows = [r for r in _manifests(spark, path) if number is None or r["number"] == number]
+    if not rows:
+        raise FileNotFoundError(f"no such set in {path}")
+    last = max(rows, key=lambda r: (r["number"], r["folder"]))
+    return {name: spark.read.parquet(f"{path}/{last['folder']}/{name}") for name in last["tables"]}
+
+
+def _manifests(spark: SparkSession, path: str) -> list:
+    """One row per set."""
+    try:
+        return spark.read.schema(MANIFEST).json(f"{path}/manifests").collect()
+    except Exception as error:  # nothing written yet
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return []
+
+
+def write_target_reports(reports: dict[str, dict], path: str) -> int:
+    """The tables of ``models.fit_target`` of every target as one set: ``<target>_report`` and so on."""
+    names = ("report", "overall", "confusion", "predictions")
+    return write_set({f"{target}_{n}": out[n] for target, out in reports.items() for n in names}, path)
+
+
+def write_similarity_reports(
+    df: DataFrame, key: str, vector: str, group: str, path: str, text: str | None = None, threshold: float = -1.0
+) -> int:
+    """Group statistics, pairs above ``threshold`` (below 0: all) and the rows themselves as one set."""
+    shown = [key, group, *([text] if text else [])]
+    return write_set({
+        "groups": similarity.group_similarity(df, key, vector, group),
+        "pairs": similarity.pairs_above(df, key, vector, group, threshold),
+        "rows": df.select(*shown),
+    }, path)
+
+
 def stopword_report(
     stats: DataFrame, thresholds: Thresholds, watch_words, n_documents: int, classes: list
 ) -> DataFrame:

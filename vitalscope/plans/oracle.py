@@ -144,6 +144,7 @@ best AS (SELECT token, term, score FROM (SELECT *, row_number() OVER (PARTITION
 
 # ---- vectors ---------------------------------------------------------------------------------
 VEC = "vec AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)"
+SMOOTH = "SELECT vec_id, label, list_transform(range(1, len(v) + 1), lambda i: v[i] + v[i % len(v) + 1]) AS v FROM vec"
 COS = "list_cosine_similarity(a.v, b.v)"
 CLIP = f"greatest(0, least(1, {COS}))"
 
@@ -185,9 +186,9 @@ won AS (SELECT c.vec_id, c.label AS true_cluster, c.nb AS neighbour, c.nb_label
 TOPK = f"""{VEC}, top AS (SELECT * FROM (SELECT a.vec_id AS query, b.vec_id AS neighbour, round({COS}, 10) AS s,
   row_number() OVER (PARTITION BY a.vec_id ORDER BY round({COS}, 10) DESC, b.vec_id) AS rank
   FROM vec a JOIN vec b ON a.label >= 7 AND b.label < 7) WHERE rank <= 5)"""
-NEXT = f"""{VEC}, half AS (SELECT vec_id, label, v[1:32] AS v FROM vec),
+NEXT = f"""{VEC}, smooth AS ({SMOOTH}),
 checked AS (SELECT a.vec_id AS pair_id, {COS} AS raw, list_cosine_similarity(c.v, d.v) AS normalized
-  FROM vec a JOIN vec b ON b.vec_id = a.vec_id + 1 JOIN half c ON c.vec_id = a.vec_id JOIN half d ON d.vec_id = b.vec_id),
+  FROM vec a JOIN vec b ON b.vec_id = a.vec_id + 1 JOIN smooth c ON c.vec_id = a.vec_id JOIN smooth d ON d.vec_id = b.vec_id),
 chk AS (SELECT *, normalized - raw AS lift, normalized - 0.1::DOUBLE AS drift, normalized > 0.3 AS passes_threshold,
   abs(normalized - 0.1::DOUBLE) <= 0.1 AS matches_documented FROM checked)"""
 
@@ -376,8 +377,8 @@ def queries_sql() -> dict[str, str]:
     sql["arm_summary"] = f"""WITH {VEC}, {arm('_f', 'vec')} SELECT cluster, round(within, 6) AS within, round(across, 6) AS across, round(gap, 6) AS gap,
       round(pass_rate, 6) AS pass_rate, n_pairs FROM arm_f"""
     cols = ["within", "across", "gap", "pass_rate"]
-    sql["two_arm_comparison"] = f"""WITH {VEC}, half AS (SELECT vec_id, label, v[1:32] AS v FROM vec), {arm('_f', 'vec')}, {arm('_h', 'half')}
-      SELECT f.cluster, f.n_pairs, {', '.join(f'round(f.{c}, 6) AS {c}_full, round(h.{c}, 6) AS {c}_half' for c in cols)}, round(h.gap - f.gap, 6) AS gap_change
+    sql["two_arm_comparison"] = f"""WITH {VEC}, smooth AS ({SMOOTH}), {arm('_f', 'vec')}, {arm('_h', 'smooth')}
+      SELECT f.cluster, f.n_pairs, {', '.join(f'round(f.{c}, 6) AS {c}_plain, round(h.{c}, 6) AS {c}_smoothed' for c in cols)}, round(h.gap - f.gap, 6) AS gap_change
       FROM arm_f f JOIN arm_h h USING (cluster)"""
     sql["pair_check"] = f"""WITH {NEXT} SELECT pair_id, round(raw, 6) AS raw, round(normalized, 6) AS normalized, round(lift, 6) AS lift, round(drift, 6) AS drift,
       passes_threshold, matches_documented FROM chk"""

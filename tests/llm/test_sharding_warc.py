@@ -3,6 +3,7 @@ import collections
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from vitalscope.llm import sharding, warc
 
@@ -28,6 +29,59 @@ def test_shards_fit_and_copies_spread(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(rows)
 
 
+def by_hand(rows, limit):
+    """Shards (depth, prefix) and their rows by splitting one bit at a time."""
+    seen, marks = collections.Counter(), []
+    for d, n in rows:
+        seen[d, n] += 1
+        name = f"{'null' if d is None else d}:{n}:{seen[d, n]}"
+        marks.append((int(hashlib.md5(name.encode()).hexdigest()[:15], 16), n))
+    out, open_ = {}, [(0, 0, marks)]
+    while open_:
+        depth, prefix, own = open_.pop()
+        if sum(n for _, n in own) <= limit or len(own) == 1 or depth == 60:
+            out[depth, prefix] = len(own)
+            continue
+        for bit in (0, 1):
+            part = [m for m in own if m[0] >> (59 - depth) & 1 == bit]
+            if part:
+                open_.append((depth + 1, 2 * prefix + bit, part))
+    return out
+
+
+@pytest.mark.parametrize("most", [100_000, 3])
+def test_directory_equals_splitting_by_hand(spark, monkeypatch, most):
+    monkeypatch.setattr(sharding, "DIRECTORY_ROWS", most)
+    rows = [(i % 900, 1 + i % 37) for i in range(2500)] + [(None, 5)] * 40 + [(3, 4000)]
+    df = spark.createDataFrame([(d, "x" * n) for d, n in rows], "doc_id long, text string")
+    for limit in (10**9, 700, 15):
+        want = by_hand(rows, limit)
+        got = collections.Counter((r["depth"], r["prefix"]) for r in sharding.assign(df, limit).collect())
+        assert got == want
+    got = collections.Counter((r["depth"], r["prefix"]) for r in sharding.written(df, 700).collect())
+    assert got == by_hand(rows, 700)
+
+
+def test_more_equal_rows_than_a_chunk_and_5000_shards(spark, tmp_path):
+    df = spark.range(70_000).select(F.lit(7).alias("doc_id"), F.lit("same text").alias("text")).repartition(3)
+    path = str(tmp_path / "hot")
+    sharding.write_shards(df, path, 10_000, copy="copy")
+    rows = spark.read.parquet(path)
+    assert rows.select("copy").distinct().count() == 70_000
+    assert rows.groupBy("shard").agg(F.sum(F.octet_length("text")).alias("n")).agg(F.max("n")).first()[0] <= 10_000
+    many = spark.range(12_000).select(F.col("id").alias("doc_id"), F.lit("x" * 50).alias("text"))
+    slim = sharding.stored(sharding.keyed(many))
+    shards = sharding.directory(slim, 100)
+    assert shards.count() > 5_000
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = sharding._placed(many.withColumn("__h", F.col("doc_id")), shards)[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
 def test_plan_has_no_python(spark):
     plan = sharding.assign(docs_of(spark, [(1, "a")]), 10)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))

@@ -6,7 +6,9 @@ splits of ``STEP`` bits are counted together in one pass over the rows of the
 oversized buckets, so a pass reads only what is still too large, and the number
 of passes follows log2(total bytes / limit). Bucket tables have at most
 ``2 ** (STEP + 1)`` rows for each oversized bucket, of which there are fewer than
-total bytes / limit.
+total bytes / limit. The directory itself is kept as shards. A row finds its shard by a few
+leading bits of its hash and the shard's range of hashes; the directory is broadcast after a count, and
+texts are shuffled once, on their way to their shards.
 
 Defined cases: null text has 0 bytes; a null key hashes as the word ``null``;
 equal rows are told apart by a copy number, so a key that holds a third of all
@@ -22,12 +24,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from vitalscope.operators.skew import lookup_join
-from vitalscope.session import checkpoint_dir, small_side
+from vitalscope.session import checkpoint_dir, is_small, small_side
 
 from .common import fresh, stored
 
 BITS = 60
 STEP = 8
+DIRECTORY_ROWS = 100_000  # of 60 bytes or so, that are broadcast
 FACTS = ("depth", "prefix", "shard_bytes", "shard_rows")
 
 
@@ -55,9 +58,9 @@ def keyed(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return copies.withColumn("__h", _hashed())
 
 
-def directory(slim: DataFrame, limit: int) -> list[tuple[int, DataFrame]]:
-    """(bits, cells) for each pass: which shard the rows of a hash prefix of ``bits`` bits belong to."""
-    passes, rows, base = [], slim, 0
+def directory(slim: DataFrame, limit: int) -> DataFrame:
+    """depth, prefix, shard_bytes, shard_rows of every shard."""
+    found, rows, base = None, slim, 0
     while base < BITS:
         top = min(base + STEP, BITS)
         cells = rows.groupBy(_prefix(top).alias("cell")).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("rows"))
@@ -77,19 +80,14 @@ def directory(slim: DataFrame, limit: int) -> list[tuple[int, DataFrame]]:
             shards = shards.unionByName(fit.filter("depth = 0"))
         else:  # the top nodes of a later pass are the oversized buckets themselves
             shards = shards.filter(F.col("depth") > base)
-        directory_cells = shards.select(
-            F.explode(F.expr(
-                f"sequence(shiftleft(prefix, {top} - depth), shiftleft(prefix + 1, {top} - depth) - 1)"
-            )).alias("cell"),
-            F.col("depth"), F.col("prefix"), F.col("bytes").alias("shard_bytes"), F.col("rows").alias("shard_rows"),
-        )
-        passes.append((top, directory_cells))
+        shards = shards.select("depth", "prefix", F.col("bytes").alias("shard_bytes"), F.col("rows").alias("shard_rows"))
+        found = shards if found is None else found.unionByName(shards)
         large = nodes.filter(~F.col("fits") & (F.col("depth") == top)).select(F.col("prefix").alias("__large"))
         if large.isEmpty():
             break
-        rows = slim.join(large, _prefix(top) == F.col("__large"), "left_semi")
+        rows = slim.join(small_side(large, DIRECTORY_ROWS), _prefix(top) == F.col("__large"), "left_semi")
         base = top
-    return passes
+    return stored(found)
 
 
 def assign(df: DataFrame, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -98,16 +96,24 @@ def assign(df: DataFrame, limit: int, key: str = "doc_id", text: str = "text") -
     A shard is named by ``depth`` hash bits with the value ``prefix``.
     """
     slim = stored(keyed(df, key, text))
-    return _placed(slim, directory(slim, limit)).select("doc_id", "copy", "bytes", *FACTS)
+    return _placed(slim, directory(slim, limit))[0].select("doc_id", "copy", "bytes", *FACTS)
+
 
+def _placed(rows: DataFrame, shards: DataFrame) -> tuple[DataFrame, bool]:
+    """``rows`` (with the hash __h) and the shard of each; true where the directory was small enough to be sent to all.
 
-def _placed(rows: DataFrame, passes: list[tuple[int, DataFrame]]) -> DataFrame:
-    """``rows`` (with the hash __h) and the shard of each."""
-    out = rows
-    for i, (bits, cells) in enumerate(passes):
-        named = cells.select(F.col("cell").alias(f"__c{i}"), *[F.col(c).alias(f"__{c}{i}") for c in FACTS])
-        out = out.join(small_side(named), _prefix(bits) == F.col(f"__c{i}"), "left")
-    return out.select(*rows.columns, *[F.coalesce(*[F.col(f"__{c}{i}") for i in range(len(passes))]).alias(c) for c in FACTS])
+    If not, the join by leading bits puts all rows of a shard into one partition. Leading bits are as many
+    as tell the shards apart on average; a shard above them has a row for each of its cells, fewer than there are shards.
+    """
+    bits = min(BITS, max(0, shards.count() - 1).bit_length())
+    cells = F.expr(f"sequence(shiftleft(prefix, greatest({bits} - depth, 0)), shiftleft(prefix + 1, greatest({bits} - depth, 0)) - 1)")
+    ranges = shards.select(
+        F.explode(F.when(F.col("depth") <= bits, cells).otherwise(F.array(F.expr(f"shiftright(prefix, depth - {bits})")))).alias("__cell"),
+        F.expr(f"shiftleft(prefix, {BITS} - depth)").alias("__low"), F.expr(f"shiftleft(prefix + 1, {BITS} - depth)").alias("__high"), *FACTS,
+    )
+    small = is_small(ranges, DIRECTORY_ROWS)
+    match = (F.shiftright("__h", BITS - bits) == F.col("__cell")) & (F.col("__h") >= F.col("__low")) & (F.col("__h") < F.col("__high"))
+    return rows.join(F.broadcast(ranges) if small else ranges, match).select(*rows.columns, *FACTS), small
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
@@ -139,11 +145,11 @@ def write_shards(df: DataFrame, path: str, limit: int, key: str = "doc_id", text
     slim = stored(keyed(df, key, text))
     size = F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).cast("long")
     rows = _numbered(df.select(F.col(f"`{key}`").alias("doc_id"), size.alias("bytes"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")))
-    placed = _placed(rows.withColumn("__h", _hashed()), directory(slim, limit))
+    placed, spread = _placed(rows.withColumn("__h", _hashed()), directory(slim, limit))
     (shard,) = fresh(df, "shard")
     kept = [F.col("copy").alias(copy)] if copy else []
     out = placed.select("row.*", *kept, F.concat_ws("-", "depth", "prefix").alias(shard))
-    out.repartition(shard).write.partitionBy(shard).parquet(path)
+    (out.repartition(shard) if spread else out).write.partitionBy(shard).parquet(path)
 
 
 def written(df: DataFrame, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:

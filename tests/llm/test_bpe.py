@@ -19,11 +19,12 @@ def test_equals_tiktoken(spark, folder, monkeypatch):
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").limit(60)
     rows = [tuple(r) for r in docs.collect()] + [
         (-1, None), (-2, ""), (-3, "  a  b\n\n c \n d  e\x1c f \n x  \n y"), (-4, "a" * 3000 + " " + "xyz" * 5000), (-5, LONG[:50_000]),
-        (-6, "don't we'll <|endoftext|> 12 ½ ²x"), (-6, " \n "), (-7, "日本語テキスト 🎉🎉　x"), (None, "x"), (None, "x"),
+        (-6, "don't we'll <|endoftext|> 12 ½ ²x"), (-6, " \n "), (-8, "z" * 399 + "1" + "y" * 400 + "2" + "w" * 401), (-7, "日本語テキスト 🎉🎉　x"), (None, "x"), (None, "x"),
     ]
     want = Counter((i, tuple(own.encode_ordinary(t or "")), (t or "").encode()) for i, t in rows)
-    for block in (bpe.BLOCK, 200):
+    for block, known in ((bpe.BLOCK, bpe.KNOWN), (200, bpe.KNOWN), (200, 30)):
         monkeypatch.setattr(bpe, "BLOCK", block)
+        monkeypatch.setattr(bpe, "KNOWN", known)
         got = bpe.encode(docs_of(spark, rows), PATH, P.PATTERN).collect()
         assert Counter((r["doc_id"], tuple(r["ids"]), bytes(r["decoded"])) for r in got) == want
     assert bpe.encode(empty_docs(spark), PATH, P.PATTERN, digests=True).collect() == []

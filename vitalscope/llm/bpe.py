@@ -1,16 +1,19 @@
 """Byte-level BPE encoding and decoding with a literal rank map.
 
-Texts are cut into blocks of about ``BLOCK`` bytes. A block lists its distinct
-matches of the split pattern once, and every text as indexes. Spark higher-order
-functions then fold the ranked merges over the byte arrays of the distinct
-matches: the state holds the token ids of a match and, between neighbours, the id
+Texts are cut into blocks of about ``BLOCK`` bytes. A block holds every text as
+indexes and lists the distinct matches of the split pattern that are no tokens
+themselves and that no earlier block of its task had. Spark higher-order
+functions then fold the ranked merges over the byte arrays of these words:
+the state holds the token ids of a match and, between neighbours, the id
 of their merged pair; a step merges the lowest (leftmost at a tie) and looks up
 the two pairs that the new token makes. The rank map is a literal in the plan.
-At last a text's ids are gathered by its indexes, and decoding concatenates the
-binary pieces of the ids.
+At last a text's ids are gathered by its indexes from the words folded so far in
+the task, and decoding concatenates the binary pieces of the ids.
 
-Nothing is shuffled or collected: a block is a row that stays in its task, so
-memory follows the block size and a lost executor costs its own blocks only.
+Nothing is shuffled or collected. Blocks stay in their task and in their order, as
+rows of a few narrow steps, so a word is folded once per task. Both ends forget
+the words at the first block that finds more than ``KNOWN`` of them, which bounds
+memory whatever a task reads; a lost executor costs its own tasks only.
 
 Ranks are the ids: a match that is a token is that token; otherwise the pair
 whose bytes have the lowest rank is merged first.
@@ -34,7 +37,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import ranges, units, with_id
 
-BLOCK = 8 << 20
+BLOCK = 1 << 20
+KNOWN = 1 << 18
 LONG = 400
 NONE = 1 << 20  # above every id
 # White space beyond ASCII: texts with it are split whole, not unit by unit.
@@ -169,7 +173,7 @@ def _heap_merge(ids: list[int], tokens: list[bytes], whole: dict[bytes, int]) ->
 
 
 def _prepared(tokens: list[bytes], pattern: str):
-    def block(ids: list, texts: list[str], whole: dict, single: list, split) -> pa.RecordBatch:
+    def block(ids: list, texts: list[str], whole: dict, single: list, split, known: dict[str, int]) -> pa.RecordBatch:
         odd = {i for i, t in enumerate(texts) if _OTHER_SPACE.search(t)}
         pieces, counts = units(pa.array(["" if i in odd else t for i, t in enumerate(texts)], pa.large_string()))
         coded = pieces.dictionary_encode()
@@ -183,29 +187,36 @@ def _prepared(tokens: list[bytes], pattern: str):
                 if i in odd:
                     distinct.append(texts[i])
             index, counts = np.concatenate(chunks), np.array([len(c) for c in chunks])
-        known: dict[str, int] = {}
-        parts = [[known.setdefault(m, len(known)) for m in split.findall(u)] for u in distinct]
-        words = []
-        for word in known:
-            raw = word.encode()
-            if raw in whole:
-                words.append([whole[raw]])
-            else:
-                one = [single[b] for b in raw]
-                words.append(one if len(one) <= LONG else _heap_merge(one, tokens, whole))
+        if len(known) > KNOWN:
+            known.clear()
+        restart, words, parts, sizes = not known, [], [], []
+        for unit in distinct:
+            matches = split.findall(unit)
+            sizes.append(len(matches))
+            for match in matches:
+                raw = match.encode()
+                number = whole.get(raw)
+                if number is None:
+                    number = known.get(match)
+                    if number is None:
+                        number = known[match] = len(tokens) + len(known)
+                        one = [single[b] for b in raw]
+                        words.append(one if len(one) <= LONG else _heap_merge(one, tokens, whole))
+                parts.append(number)
         values = {
             "ids": pa.array([ids], pa.list_(pa.int64())),
             "counts": pa.array([np.asarray(counts, np.int64).tobytes()], pa.binary()),
             "index": pa.array([index.tobytes()], pa.binary()),
-            "sizes": pa.array([np.array([len(p) for p in parts], np.int32).tobytes()], pa.binary()),
-            "parts": pa.array([np.array([x for p in parts for x in p], np.int32).tobytes()], pa.binary()),
+            "sizes": pa.array([np.array(sizes, np.int32).tobytes()], pa.binary()),
+            "parts": pa.array([np.array(parts, np.int32).tobytes()], pa.binary()),
             "words": pa.array([words], pa.list_(pa.list_(pa.int32()))),
+            "restart": pa.array([restart]),
         }
         return pa.RecordBatch.from_pydict(values)
 
     def run(batches):
         whole = {t: i for i, t in enumerate(tokens) if t}
-        tables = whole, [whole[bytes([b])] for b in range(256)], regex.compile(pattern)
+        tables = whole, [whole[bytes([b])] for b in range(256)], regex.compile(pattern), {}
         ids, texts, size = [], [], 0
         for batch in batches:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -232,15 +243,20 @@ def _gathered(tokens: list[bytes], full: bool):
         pieces = pa.array(tokens, pa.large_binary())
         piece_data = np.frombuffer(pieces.buffers()[2], np.uint8)
         piece_sizes = np.array([len(t) for t in tokens], np.int64)
+        own_tokens = np.arange(len(tokens), dtype=np.uint32), np.ones(len(tokens), np.int64)  # a token is its own id
+        values, word_sizes = own_tokens
         for batch in batches:
             for row in range(batch.num_rows):
                 ids = batch.column(0)[row].as_py()
                 counts, index, sizes, parts = (
                     np.frombuffer(batch.column(i)[row].as_py(), t) for i, t in ((1, np.int64), (2, np.int32), (3, np.int32), (4, np.int32))
                 )
+                if batch.column(6)[row].as_py():
+                    values, word_sizes = own_tokens
                 words = batch.column(5)[row].values
-                values = words.flatten().to_numpy(zero_copy_only=False).astype(np.uint32)
-                word_sizes = np.diff(words.offsets.to_numpy()).astype(np.int64) if len(words) else np.zeros(0, np.int64)
+                if len(words):
+                    values = np.concatenate([values, words.flatten().to_numpy(zero_copy_only=False).astype(np.uint32)])
+                    word_sizes = np.concatenate([word_sizes, np.diff(words.offsets.to_numpy()).astype(np.int64)])
                 at, picked = np.cumsum(sizes) - sizes, sizes.astype(np.int64)
                 flat, each = _gather(values, word_sizes, parts)  # ids of all units in a row
                 reach = np.concatenate([[0], np.cumsum(each)])
@@ -283,7 +299,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text:
     tokens = load_ranks(ranks)
     blocks = with_id(docs, key, text).mapInArrow(
         _prepared(tokens, pattern),
-        "ids array<long>, counts binary, index binary, sizes binary, parts binary, words array<array<int>>",
+        "ids array<long>, counts binary, index binary, sizes binary, parts binary, words array<array<int>>, restart boolean",
     )
     ranked = RankMap(pair_ids(tokens))
     folded = blocks.withColumn("words", ranked.fold(F.col("words")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from vitalscope.operators.skew import lookup_join
+from vitalscope.session import is_small
 
 from .common import stored
 
@@ -12,19 +13,28 @@ from .common import stored
 def components(links: DataFrame) -> DataFrame:
     """node, comp: the smallest node that each node of the links (a, b) reaches.
 
-    Every round a node takes the least label of its neighbours and then the label
-    of its label, so the rounds follow the logarithm of a component's width for
-    chains as well as stars. Labels are written to the shared folder every round.
+    Every round a node takes the least label of its neighbours and the label that
+    its least label had before, so the rounds follow the logarithm of a component's width
+    for chains as well as stars. Labels are written to the shared folder once a round;
+    how they are joined depends on their number, which no round changes.
+
+    Defined cases: links may repeat, run both ways or join a node to itself (which
+    is then its own component); those with a null end are left out; no links, no rows.
     """
+    links = links.filter("a is not null and b is not null")
     edges = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     label = stored(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp")).select("node", F.least("node", "comp").alias("comp")))
+    few = is_small(label)
+
+    def joined(rows: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
+        return rows.join(F.broadcast(lookup), key) if few else lookup_join(rows, lookup, key, "inner")
+
     while True:
-        near = lookup_join(edges, label.select(F.col("node").alias("b"), "comp"), "b", "inner")
+        near = joined(edges, label.select(F.col("node").alias("b"), "comp"), "b")
         least = near.groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         lower = label.join(least, "node").select("node", F.col("comp").alias("before"), F.least("comp", "near").alias("comp"))
-        lower = stored(lower)
-        jump = lookup_join(lower, lower.select(F.col("node").alias("comp"), F.col("comp").alias("beyond")), "comp")
-        new = stored(jump.select("node", "before", F.least("comp", F.coalesce("beyond", "comp")).alias("comp")))
-        if new.filter("comp != before").isEmpty():
-            return new.select("node", "comp")
-        label = new.select("node", "comp")
+        jump = joined(lower, label.select(F.col("node").alias("comp"), F.col("comp").alias("beyond")), "comp")
+        label = stored(jump.select("node", "before", F.least("comp", "beyond").alias("comp")))
+        if label.filter("comp != before").isEmpty():
+            return label.select("node", "comp")
+        label = label.select("node", "comp")

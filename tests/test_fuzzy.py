@@ -98,3 +98,18 @@ def test_bilingual_misspellings_phrases_and_fallback(spark):
     assert row["truncated_chief_complaint"] == "back pain headache fever"
     assert bilingual(spark, "zzz yyy")["truncated_chief_complaint"] == "zzz yyy"
     assert bilingual(spark, "")["truncated_chief_complaint"] == ""
+
+
+def test_repair_looks_at_bounded_parts_of_a_batch(monkeypatch):
+    import pyarrow as pa
+
+    from vitalscope.functions import fuzzy
+
+    monkeypatch.setattr(fuzzy, "PART_TOKENS", 10)
+    asked = []
+    repair = fuzzy.repair_tokens_udf(lambda words: [asked.append(len(words)) or (f"{w}!", 100.0) if i == 0 else None for i, w in enumerate(words)])
+    tokens = pa.array([[f"w{i}", f"x{i}"] for i in range(40)] + [None, []] + [[f"y{i}" for i in range(30)]], pa.list_(pa.string()))
+    got = repair.func(tokens)
+    assert max(asked[:-1]) <= 10 and asked[-1] == 30
+    assert [len(r) if r is not None else None for r in got.to_pylist()] == [2] * 40 + [None, 0, 30]
+    assert got.to_pylist()[0] == ["w0!", "x0"] and got.to_pylist()[-1][0] == "y0!"

@@ -15,7 +15,11 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 # Words a task remembers before it starts afresh.
-MEMORY_WORDS = 500_000
+MEMORY_WORDS = 1 << 17
+# Tokens of a batch looked at together; a longer row stays whole.
+PART_TOKENS = 1 << 17
+# Letter counts compared at once: words times terms times 27.
+COMPARED = 1 << 22
 
 _MATCH = StructType([StructField("term", StringType()), StructField("score", DoubleType())])
 
@@ -30,6 +34,11 @@ def _letter_counts(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return counts.astype(np.int16), lengths
 
 
+def _chunk(terms: int) -> int:
+    """How many words are compared with all terms at once."""
+    return max(1, COMPARED // (27 * max(1, terms)))
+
+
 def common_subsequence(a: str, b: str) -> int:
     """Length of the longest common subsequence."""
     previous = [0] * (len(b) + 1)
@@ -64,8 +73,9 @@ class TermMatcher:
         index = [
             i for i, w in enumerate(words) if len(w) >= self.shortest and w not in self.untouched
         ]
-        for start in range(0, len(index), 4096):
-            self._match(words, index[start:start + 4096], found)
+        step = _chunk(len(self.terms))
+        for start in range(0, len(index), step):
+            self._match(words, index[start:start + step], found)
         return found
 
     def _match(self, words, index, found) -> None:
@@ -95,8 +105,9 @@ class CloseMatcher:
 
     def __call__(self, words: list[str]) -> list[tuple[str, float] | None]:
         found: list[tuple[str, float] | None] = [None] * len(words)
-        for start in range(0, len(words), 4096):
-            part = words[start:start + 4096]
+        step = _chunk(len(self.terms))
+        for start in range(0, len(words), step):
+            part = words[start:start + step]
             letters, lengths = _letter_counts(part)
             total = np.maximum(lengths[:, None] + self.lengths[None, :], 1)
             shared = np.minimum(letters[:, None, :], self.letters[None, :, :]).sum(axis=2)
@@ -126,23 +137,36 @@ class _Remembered:
         return [self.memory[w] for w in words]
 
 
+def _row_parts(tokens: pa.Array):
+    """Slices of whole rows with at most PART_TOKENS tokens each; a longer row is a slice of its own."""
+    ends = np.cumsum(tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(ends):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + PART_TOKENS, "right")))
+        yield tokens.slice(start, stop - start)
+        start = stop
+
+
 def repair_tokens_udf(matcher):
     """array<string> -> array<string> with every matched word replaced."""
     lookup = _Remembered(matcher)
 
-    @arrow_udf(ArrayType(StringType()))
-    def repair(tokens: pa.Array) -> pa.Array:
+    def repaired_part(tokens: pa.Array) -> pa.Array:
         words = tokens.flatten().dictionary_encode()
-        if len(words) == 0:
-            return tokens
         known = words.dictionary.to_pylist()
-        repaired = [m[0] if m else w for w, m in zip(known, lookup(known))]
+        repaired = [m[0] if m else w for w, m in zip(known, lookup(known) if known else [])]
         values = pa.array(repaired, pa.string()).take(words.indices)
         lengths = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
         offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
         mask = tokens.is_null() if tokens.null_count else None
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=mask)
 
+    @arrow_udf(ArrayType(StringType()))
+    def repair(tokens: pa.Array) -> pa.Array:
+        parts = [repaired_part(part) for part in _row_parts(tokens)]
+        return pa.concat_arrays(parts) if parts else tokens
+
     return repair
 
 

@@ -94,3 +94,27 @@ def test_repeated_rows_keep_every_link(spark):
         rows += [(10 * i + 5, " ".join(base)), (10 * i + 7, " ".join(base + ends[0])), (10 * i + 9, " ".join(ends[1] + base))]
     got = ngram_join.link_components(docs_of(spark, rows + rows)).collect()
     assert sorted_rows(got) == sorted_rows(brute(rows + rows, 3, 90))
+
+
+def test_pages_of_one_document_are_not_stored(spark, monkeypatch):
+    random.seed(8)
+    text = lambda: " ".join(f"w{random.randrange(10**6)}" for _ in range(300))
+    texts = [text() for _ in range(40)]
+    rows = [*enumerate(texts), (40, texts[3] + " end"), (41, texts[3])]
+    tables, real = [], ngram_join.stored
+    monkeypatch.setattr(ngram_join, "stored", lambda df: tables.append(real(df)) or tables[-1])
+    got = sorted_rows(ngram_join.link_components(docs_of(spark, rows), k=5, share=80).collect())
+    assert got == sorted_rows(brute(rows, 5, 80))
+    assert not any("pages" in t.columns for t in tables)
+    held = [t.count() for t in tables if t.columns == ["page", "doc_id"]]
+    assert held and max(held) < 1000  # of 7,766 page rows; the rest have one member
+
+
+def test_points_are_as_narrow_as_their_counts():
+    import numpy as np
+
+    points = np.zeros((4, ngram_join.COUNTS), np.int64)
+    points[0, 3], points[1, 5], points[2, 7] = 255, 256, 70_000
+    rows = ngram_join.packed(points)
+    assert [len(r) // ngram_join.COUNTS for r in rows] == [1, 2, 4, 1]
+    assert (ngram_join.unpacked(rows) == points).all() and ngram_join.unpacked([]).shape == (0, ngram_join.COUNTS)

@@ -31,7 +31,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from vitalscope.operators.skew import lookup_join
 from vitalscope.session import small_side
@@ -40,8 +40,9 @@ from .common import Words, blocks, fresh, mix, stored, window_hashes, with_id
 from .graph import components
 
 RATIO = 1.5  # of the sizes of neighbouring bands
-COUNTS = 64  # groups of the count vectors
+COUNTS = 128  # groups of the count vectors, a power of 2
 TILE, LEAF, SMALL = 512, 16, 128
+PAGE_ROWS = 1 << 16  # of the rows of pages that leave a task together
 SLOT = 20_000  # rows of pages that one call compares
 FEW_PAGES = 500_000  # page numbers that are broadcast, 8 bytes each
 _A, _B, _C = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
@@ -121,7 +122,29 @@ def pages(doc: np.ndarray, value: np.ndarray, count: int, share: int) -> tuple[n
     return doc[order], page[order]
 
 
-def _signed(k: int, share: int):
+def packed(points: np.ndarray) -> list[bytes]:
+    """Each point in the narrowest whole numbers that hold its counts: they travel once per page."""
+    top = points.max(axis=1, initial=0)
+    out: list[bytes] = [b""] * len(points)
+    for kind, low, high in ((np.uint8, -1, 255), (np.uint16, 255, 65535), (np.uint32, 65535, np.inf)):
+        own = np.flatnonzero((top > low) & (top <= high))
+        for i, row in zip(own.tolist(), points[own].astype(kind)):
+            out[i] = row.tobytes()
+    return out
+
+
+def unpacked(column) -> np.ndarray:
+    column = list(column)
+    width = np.array([len(c) for c in column], np.int64) // COUNTS
+    out = np.empty((len(column), COUNTS), np.uint32)
+    for kind in (np.uint8, np.uint16, np.uint32):
+        own = np.flatnonzero(width == np.dtype(kind).itemsize)
+        if len(own):
+            out[own] = np.frombuffer(b"".join([column[i] for i in own.tolist()]), kind).reshape(-1, COUNTS)
+    return out
+
+
+def _signed(k: int):
     def run(batches):
         for batch in batches:
             for at, texts in blocks(batch.column(1)):
@@ -131,14 +154,25 @@ def _signed(k: int, share: int):
                 digests = np.zeros((2, count), np.uint64)
                 np.add.at(digests[0], doc, mix(value ^ _B))
                 np.add.at(digests[1], doc, mix(value ^ _C))
-                points = np.bincount(doc * COUNTS + (value >> np.uint64(58)).astype(np.int64), minlength=count * COUNTS)
-                points = points.reshape(count, COUNTS).astype(np.uint32)
-                owner, page = pages(doc, value, count, share)
-                ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=count))]).astype(np.int32)
+                points = np.bincount(doc * COUNTS + (value >> np.uint64(65 - COUNTS.bit_length())).astype(np.int64), minlength=count * COUNTS)
+                points = packed(points.reshape(count, COUNTS))
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(at, count), pa.array(size.astype(np.int64)), *(pa.array(d.view(np.int64)) for d in digests),
-                    pa.array([p.tobytes() for p in points], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(page.view(np.int64))),
-                ], ["doc_id", "n", "d1", "d2", "point", "pages"])
+                    pa.array(points, pa.binary()),
+                ], ["doc_id", "n", "d1", "d2", "point"])
+    return run
+
+
+def _paged(k: int, share: int):
+    def run(batches):
+        for batch in batches:
+            for at, texts in blocks(batch.column(1)):
+                owner, page = pages(*shingle_sets(texts, k), len(texts), share)
+                for low in range(0, len(page), PAGE_ROWS):
+                    own = pa.array(owner[low:low + PAGE_ROWS])
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(page[low:low + PAGE_ROWS].view(np.int64)), batch.column(0).slice(at, len(texts)).take(own),
+                    ], ["page", "doc_id"])
     return run
 
 
@@ -164,7 +198,7 @@ def _bounded(share: int):
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, COUNTS) for i in (4, 5))
+                a, b = (unpacked(batch.column(i).to_pylist()) for i in (4, 5))
                 n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
                 keep = np.minimum(a, b).sum(1) >= needed(n, m, share)
                 yield batch.select([0, 1]).filter(pa.array(keep))
@@ -199,8 +233,6 @@ class RTree:
 
 def _across(share: int):
     """Pairs across components that may link, in all pages (and tiles of large ones) of a slot."""
-    unpack = lambda c: np.frombuffer(b"".join(c), np.uint32).reshape(-1, COUNTS)
-
     def runs(frame: pd.DataFrame):
         """The frame sorted by page and tile, and the ranges of each."""
         frame = frame.sort_values(["page", "i", "j"], kind="stable")
@@ -212,7 +244,7 @@ def _across(share: int):
         found = [np.zeros((0, 2), np.int64)]
         if len(every) and len(minor):
             (every, left), (minor, right) = runs(every), runs(minor)
-            p, q = unpack(every["point"]), unpack(minor["point"])
+            p, q = unpacked(every["point"]), unpacked(minor["point"])
             facts = [(f["n"].to_numpy(), f["node"].to_numpy(), f["comp"].to_numpy()) for f in (every, minor)]
             for tile, (c, d) in right.items():
                 a, b = left.get(tile, (0, 0))
@@ -274,7 +306,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, share: int) -> DataFram
 def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, share: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every row."""
     rows = with_id(docs, key, text)
-    signed = stored(rows.mapInArrow(_signed(k, share), "doc_id long, n long, d1 long, d2 long, point binary, pages array<long>"))
+    signed = stored(rows.mapInArrow(_signed(k), "doc_id long, n long, d1 long, d2 long, point binary"))
     taking_part = signed.filter("doc_id is not null and n > 0")
     classes = stored(taking_part.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("node"), F.first("point").alias("point")))
     # One row per document: which class it is in. Hot classes are served apart.
@@ -285,14 +317,19 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     same = "n = cn and d1 = c1 and d2 = c2"
     copies = stored(lookup_join(slim, multiple, "tag", "inner").filter(same).filter("doc_id > node").select("doc_id", "n", "d1", "d2", "node"))
 
-    on_page = taking_part.select("doc_id", F.explode("pages").alias("page"))
+    # Pages are made from the texts once more and shuffled as page and document alone: most have one
+    # member and end there, so neither a table of all pages nor partial sums of them are written.
+    on_page = rows.filter("doc_id is not null").mapInArrow(_paged(k, share), "page long, doc_id long")
+    of_page = Window.partitionBy("page")
+    spans = on_page.withColumn("low", F.min("doc_id").over(of_page)).withColumn("high", F.max("doc_id").over(of_page))
+    shared = stored(spans.filter("high > low").select("page", "doc_id"))
     # Which rows are on a page: sums of both halves of their hashes. Repeated rows add up, where an xor would cancel them.
     half = lambda h: F.sum(F.expr(h))
-    full = on_page.withColumn("h", F.xxhash64("doc_id")).groupBy("page").agg(
+    full = shared.withColumn("h", F.xxhash64("doc_id")).groupBy("page").agg(
         F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), half("h & 4294967295L").alias("who"), half("shiftrightunsigned(h, 32)").alias("else")
-    ).filter("high > low")
+    )
     kept = stored(full.groupBy("low", "high", "who", "else").agg(F.min("page").alias("page")).select("page"))
-    members = stored(on_page.join(small_side(kept, FEW_PAGES), "page"))
+    members = stored(shared.join(small_side(kept, FEW_PAGES), "page"))
     nodes = members.join(copies.select("doc_id", "node").distinct(), "doc_id", "left")
     members = stored(nodes.select("page", F.coalesce("node", "doc_id").alias("node")).distinct())
 

@@ -101,3 +101,22 @@ def test_space_is_smaller_than_the_benchmark_and_keeps_its_paraphrases(spark, mo
             masks[w] |= 1 << k
         stretches = [texts[doc][a:a + reach] for a in range(max(1, len(texts[doc]) - reach + 1))]
         assert max(decontaminate.common_subsequence(masks, len(want), np.array(s, object)) for s in stretches) >= 0.7 * len(want)
+
+
+def test_space_is_fitted_to_every_document(spark, monkeypatch):
+    random.seed(4)
+    words = [f"w{i}" for i in range(300)]
+    items = [[words[(8 * i + j) % 300] for j in range(20)] for i in range(40)]
+    rows = [(i, " ".join(random.choice(words) for _ in range(4))) for i in range(5000)] + [(5000, "none"), (5001, None), (5002, " ".join(items[7]))]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    fitted, real = [], decontaminate.latent_space
+    monkeypatch.setattr(decontaminate, "latent_space", lambda *a: fitted.append((a[1].collect(), real(*a))) or fitted[0][1])
+    got = decontaminate.matches(docs_of(spark, rows), bench).collect()
+    assert [(r["doc_id"], r["item_id"]) for r in got] == [(5002, 7)]
+    matrix, space = fitted[0]
+    assert len(matrix) == 5001 + len(items) and space.shape == (300, 20)
+    dense = np.zeros((len(matrix), 300))
+    for i, r in enumerate(matrix):
+        dense[i, r["number"]] = r["value"]
+    best = np.sqrt((np.linalg.svd(dense, compute_uv=False)[:20] ** 2).sum())
+    assert np.allclose(space.T @ space, np.eye(20), atol=1e-3) and np.linalg.norm(dense @ space) > 0.9 * best

@@ -1,15 +1,12 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. TF-IDF: the words of the benchmark items are the vocabulary; their document
-   frequencies are counted over all documents. The same pass takes one passage each from
-   about ``SAMPLE`` documents, chosen by a hash of the text.
-2. A randomised SVD of the TF-IDF vectors of items and sampled passages together gives
+   frequencies are counted over all documents. The same pass keeps the counts of these words in every document.
+2. A randomised SVD of the TF-IDF vectors of all items and all documents together gives
    the latent space. The rows of the matrix stay distributed: every task multiplies
    its rows by the current basis and back, and the products are summed in tasks by
-   ranges of words (``POWER`` rounds).
-   The rank is at most half of the number of items (16 for fewer than 32). Of the ranks ``RANKS`` the
-   least is taken whose recall is ``RECALL`` on paraphrases planted in sampled
-   passages (every fourth word of an item exchanged), else the largest.
+   ranges of words. It starts from the items' own directions, so two rounds do.
+   The rank is half of the number of items, at least 16 and at most 128.
 3. Passages of every document, half overlapping windows as long as the items, are
    projected like the items, and those with a latent cosine of at least ``COSINE`` to
    an item that also hold half of ``SHARE`` of its words are candidates; every
@@ -37,8 +34,6 @@ rows; other columns are ignored.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -46,12 +41,15 @@ from pyspark.sql import DataFrame, functions as F
 from .common import Words, blocks, fresh, ranges, stored, window_hashes, with_id
 
 ITEMS = 2048
-SAMPLE = 2048  # passages of documents that the space is fitted to, about
-RANKS, EXTRA, POWER = (16, 32, 64, 128), 16, 2
-RECALL = 0.98  # of planted paraphrases, from which on a rank is enough
+RANKS, EXTRA, POWER = (16, 128), 16, 2  # least and largest rank
+BLOCK = 1 << 19  # bytes of texts looked at together
+MARKS = 18  # bits of a word's hash that tell most words of no item
+DENSE = 1 << 21  # numbers of a dense piece of the matrix
+PAIRS = 1 << 12  # passages and items whose words are compared at once
 LEAST = 6
 COSINE = 0.3
-WORDS = 1024  # rows of the sketch that travel together
+WORDS = 128  # rows of the sketch that travel together
+TASK_ROWS, TASKS = 1 << 13, 512  # documents that a task multiplies at least; tasks at most, each sends a sketch
 SHARE, ANSWER = 0.7, 0.6
 ANSWERS = 5
 SEED = 11
@@ -86,11 +84,17 @@ class Items:
             own = tokens(pa.array([answers[i] or ""], pa.large_string()))[1]
             self.given.append(own[np.isin(own, hashed[cuts[i]:cuts[i + 1]])])
         self.vocabulary = np.unique(np.concatenate(self.words)) if keep else np.zeros(0, np.uint64)
+        self.marked = np.zeros(1 << MARKS, bool)
+        self.marked[self.vocabulary >> np.uint64(64 - MARKS)] = True
 
     def lookup(self, hashed: np.ndarray) -> np.ndarray:
         """The vocabulary number of each word, -1 for others."""
-        at = np.minimum(np.searchsorted(self.vocabulary, hashed), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[at] == hashed, at, -1)
+        out = np.full(len(hashed), -1, np.int64)
+        maybe = np.flatnonzero(self.marked[hashed >> np.uint64(64 - MARKS)])  # the others need no search
+        own = hashed[maybe]
+        at = np.minimum(np.searchsorted(self.vocabulary, own), len(self.vocabulary) - 1)
+        out[maybe] = np.where(self.vocabulary[at] == own, at, -1)
+        return out
 
     def weigh(self, frequency: np.ndarray, documents: int) -> None:
         self.idf = np.log((documents + 1) / (frequency + 0.5))
@@ -121,37 +125,28 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 1e-12)
 
 
-def _frequencies(items: Items, share: float):
-    """Documents per word, all documents under the number after the last word, and sampled passages."""
+def _frequencies(items: Items):
+    """Documents per word, all documents under the number after the last word, and the words of every document that has any."""
     size = len(items.vocabulary)
-    window = 1 << int(np.ceil(np.log2(max(8, np.median([len(w) for w in items.words])))))
-    limit = int(share * 2**32)
 
     def run(batches):
         total = np.zeros(size + 1, np.int64)
-        numbers, times = [], []
+        names = ["word", "n", "number", "times"]
         for batch in batches:
-            for _, texts in blocks(batch.column(0)):
+            for _, texts in blocks(batch.column(0), BLOCK):
                 doc, hashed = tokens(texts)
                 number = items.lookup(hashed)
-                pairs = np.unique(doc[number >= 0] * size + number[number >= 0])
-                total[:-1] += np.bincount(pairs % size, minlength=size)
+                pairs, times = np.unique(doc[number >= 0] * size + number[number >= 0], return_counts=True)
+                words = pairs % size
+                total[:-1] += np.bincount(words, minlength=size)
                 total[-1] += len(texts)
-                first = np.searchsorted(doc, np.arange(len(texts) + 1))
-                for i, t in enumerate(texts.to_pylist()):
-                    have = int(first[i + 1] - first[i])
-                    drawn = zlib.crc32(t.encode())
-                    if have and drawn < limit:
-                        start = first[i] + (drawn * 2654435761 >> 7) % max(1, have - window + 1)
-                        own = number[start:min(start + window, first[i + 1])]
-                        n, c = np.unique(own[own >= 0], return_counts=True)
-                        numbers.append(n)
-                        times.append(c)
+                first = np.append(np.flatnonzero(np.diff(pairs // size, prepend=-1)), len(pairs)).astype(np.int32)
+                rows = len(first) - 1
+                lists = [pa.ListArray.from_arrays(pa.array(first), pa.array(x.astype(np.int32))) for x in (words, times)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, -1)), pa.array(np.zeros(rows, np.int64)), *lists], names)
         seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([
-            pa.array([*seen.tolist(), *[-1] * len(numbers)], pa.int64()), pa.array([*total[seen].tolist(), *[0] * len(numbers)], pa.int64()),
-            pa.array([*[None] * len(seen), *numbers], pa.list_(pa.int64())), pa.array([*[None] * len(seen), *times], pa.list_(pa.int64())),
-        ], ["word", "n", "number", "times"])
+        none = pa.nulls(len(seen), pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen]), none, none], names)
     return run
 
 
@@ -159,11 +154,14 @@ def _weighed(idf: np.ndarray):
     """Rows of counts as unit TF-IDF vectors."""
     def run(batches):
         for batch in batches:
-            out = [
-                _unit(np.array(times.as_py(), float) * idf[np.array(number.as_py(), np.int64)])
-                for number, times in zip(batch.column(0), batch.column(1))
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], ["number", "value"])
+            number, times = batch.column(0), batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            n = number.value_lengths().to_numpy(zero_copy_only=False)
+            value = times * idf[number.flatten().to_numpy(zero_copy_only=False)]
+            row = np.repeat(np.arange(len(n)), n)
+            norm = np.sqrt(np.bincount(row, value * value, minlength=len(n)))[row]
+            value = np.divide(value, norm, out=np.zeros_like(value), where=norm > 1e-12)
+            ends = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([number, pa.ListArray.from_arrays(ends, pa.array(value))], ["number", "value"])
     return run
 
 
@@ -171,10 +169,15 @@ def _products(basis: np.ndarray):
     """The transposed matrix times (the matrix times ``basis``) over a task's rows, in ranges of words."""
     def run(batches):
         sums = np.zeros(basis.shape)
+        rows = max(1, DENSE // len(basis))  # a few rows at a time are a dense matrix
         for batch in batches:
-            for number, value in zip(batch.column(0), batch.column(1)):
-                number, value = np.array(number.as_py(), np.int64), np.array(value.as_py())
-                np.add.at(sums, number, np.outer(value, value @ basis[number]))
+            for at in range(0, batch.num_rows, rows):
+                number, value = (batch.column(i).slice(at, rows) for i in (0, 1))
+                n = number.value_lengths().to_numpy(zero_copy_only=False)
+                words, column = np.unique(number.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+                dense = np.zeros((len(n), len(words)), basis.dtype)
+                dense[np.repeat(np.arange(len(n)), n), column] = value.flatten().to_numpy(zero_copy_only=False)
+                sums[words] += dense.T @ (dense @ basis[words])
         starts = range(0, len(sums), WORDS)
         yield pa.RecordBatch.from_arrays([
             pa.array(list(starts), pa.int64()), pa.array([sums[i:i + WORDS].tobytes() for i in starts], pa.binary()),
@@ -188,17 +191,22 @@ def _summed(parts: pa.Table) -> pa.Table:
     return pa.table({"start": parts["start"][:1], "part": pa.array([total.tobytes()], pa.binary())})
 
 
-def randomised_svd(rows: DataFrame, width: int, rank: int) -> np.ndarray:
+def start_basis(width: int, rank: int) -> np.ndarray:
+    return np.linalg.qr(np.random.default_rng(SEED).normal(size=(width, min(rank + EXTRA, width))))[0]
+
+
+def randomised_svd(rows: DataFrame, width: int, rank: int, basis: np.ndarray | None = None, power: int = POWER, kind: type = np.float64) -> np.ndarray:
     """The ``rank`` leading right singular vectors (width x rank) of a distributed sparse matrix.
 
-    ``rows`` has number array<long>, value array<double>. Only the sketch, width
-    times rank + EXTRA numbers, meets on the driver.
+    ``rows`` has number array<int or long>, value array<double>. Only the sketch, width
+    times rank + EXTRA numbers, meets on the driver. ``basis`` is a better start than a random one;
+    tasks multiply in numbers of ``kind`` and add up in doubles.
     """
     sketch = min(rank + EXTRA, width)
-    basis = np.linalg.qr(np.random.default_rng(SEED).normal(size=(width, sketch)))[0]
-    for _ in range(POWER + 1):
-        parts = rows.mapInArrow(_products(basis), "start long, part binary")
-        # As many parts as the matrix has partitions, which follow its bounded rows, each of WORDS rows.
+    basis = start_basis(width, rank) if basis is None else basis
+    for _ in range(power + 1):
+        parts = rows.mapInArrow(_products(basis.astype(kind)), "start long, part binary")
+        # As many parts of WORDS rows as the matrix has partitions.
         summed = parts.groupBy("start").applyInArrow(_summed, "start long, part binary")
         product = np.zeros((width, sketch))
         for r in summed.collect():
@@ -211,27 +219,16 @@ def randomised_svd(rows: DataFrame, width: int, rank: int) -> np.ndarray:
     return last @ turn[:, order]
 
 
-def paraphrase_recall(items: Items, passages: list[tuple[np.ndarray, np.ndarray]], space: np.ndarray) -> float:
-    """Share of the items that stay candidates with every fourth word lost, in a passage as long again."""
-    projected, kept = items.projected(space), []
-    for i in np.flatnonzero(items.searched):
-        words = np.delete(items.lookup(items.words[i]), np.s_[::4])
-        n, c = passages[i % len(passages)] if passages else (np.zeros(0, int), np.zeros(0, int))
-        spare = int(items.window[i]) - len(words)
-        total = np.bincount(words, minlength=len(items.vocabulary)).astype(float)
-        np.add.at(total, n, c * min(1.0, spare / max(1, c.sum())))
-        kept.append(float(_unit((total * items.idf) @ space) @ projected[i]) >= COSINE)
-    return float(np.mean(kept)) if kept else 1.0
-
-
-def latent_space(items: Items, rows: DataFrame, passages: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The leading directions of items and passages, as few of RANKS as keep RECALL."""
-    most = min(max(RANKS), max(min(RANKS), len(items.ids) // 2), len(items.vocabulary))
-    space = randomised_svd(rows, len(items.vocabulary), most)
-    for rank in RANKS:
-        if rank < most and paraphrase_recall(items, passages, space[:, :rank]) >= RECALL:
-            return space[:, :rank]
-    return space
+def latent_space(items: Items, rows: DataFrame) -> np.ndarray:
+    """The leading directions of items and documents; the search for them starts from those of the items."""
+    width = len(items.vocabulary)
+    rank = min(max(RANKS), max(min(RANKS), len(items.ids) // 2), width)
+    basis = start_basis(width, rank)
+    product = np.zeros(basis.shape)
+    for (number, value), norm in zip(items.vectors, items.norm):
+        unit = value / max(norm, 1e-12)
+        product[number] += np.outer(unit, unit @ basis[number])
+    return randomised_svd(rows, width, rank, np.linalg.qr(product + 1e-9 * basis)[0], 1, np.float32)
 
 
 def verbatim(items: Items):
@@ -319,17 +316,23 @@ def _candidates(items: Items, space: np.ndarray):
         some = high > low
         half, place, back = np.unique(low[some], return_index=True, return_inverse=True)
         n = (high - low)[some][place]
+        longest = np.argsort(-n, kind="stable")
+        half, left = half[longest], np.bincount(n)
         total = np.zeros((len(half) + 1, space.shape[1]), np.float32)
-        if len(half):
-            total[:-1] = np.add.reduceat(scaled[numbers[ranges(half, n)]], np.cumsum(n) - n, axis=0)
+        alive = len(half)
+        for k in range(len(left) - 1):  # the k-th word of all halves that have so many
+            alive -= int(left[k])
+            total[:alive] += scaled[numbers[half[:alive] + k]]
+        at = np.empty(len(half), np.int64)
+        at[longest] = np.arange(len(half))
         row = np.full(len(low), len(half))
-        row[some] = back
+        row[some] = at[back]
         return total[row[:len(start)]] + total[row[len(start):]]
 
     def run(batches):
         for batch in batches:
             ids = batch.column(0)
-            for at, texts in blocks(batch.column(1)):
+            for at, texts in blocks(batch.column(1), BLOCK):
                 doc, hashed = tokens(texts)
                 first = np.searchsorted(doc, np.arange(len(texts) + 1))
                 number = items.lookup(hashed)
@@ -365,13 +368,13 @@ def _candidates(items: Items, space: np.ndarray):
                         use = np.empty(len(key), np.int64)
                         use[order] = np.arange(len(key)) - np.repeat(fresh_at, np.diff(fresh_at, append=len(key)))
                         use = np.minimum(use, 2)
-                        for cut in range(0, len(passage), 1 << 14):
-                            p, item = passage[cut:cut + (1 << 14)], chosen[near[cut:cut + (1 << 14)]]
+                        for cut in range(0, len(passage), PAIRS):
+                            p, item = passage[cut:cut + PAIRS], chosen[near[cut:cut + PAIRS]]
                             place = ranges(begin[p], n[p])
                             item_of = np.repeat(item, n[p])
                             held = holds[use[place], places[place], item_of >> 3] >> (item_of & 7).astype(np.uint8) & 1
                             count = np.add.reduceat(held.astype(np.int64), np.cumsum(n[p]) - n[p])
-                            shared[cut:cut + (1 << 14)] = count >= SHARE / 2 * items.length[item]
+                            shared[cut:cut + PAIRS] = count >= SHARE / 2 * items.length[item]
                         for i, j in zip(passage[shared].tolist(), near[shared].tolist()):
                             text, item = int(owner[low + i]), int(chosen[j])
                             if (text, item) in found:
@@ -399,7 +402,6 @@ def matches(
     given = F.col(f"`{answer}`").cast("string") if answer else F.lit(None).cast("string")
     items = stored(benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"), given.alias("answer")).filter("text is not null"))
     parts = -(-items.count() // ITEMS)
-    size = rows.count() if parts else 0
     out = None
     for part in range(parts):  # each part of a large benchmark is a pass of its own
         of = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
@@ -407,18 +409,16 @@ def matches(
         chosen = Items(*(list(c) for c in zip(*taken))) if taken else Items([], [], [])
         if not len(chosen.vocabulary):
             continue
-        facts = stored(rows.select("text").mapInArrow(
-            _frequencies(chosen, min(1.0, SAMPLE / max(1, size))), "word long, n long, number array<long>, times array<long>",
-        ))
+        facts = stored(rows.select("text").mapInArrow(_frequencies(chosen), "word long, n long, number array<int>, times array<int>"))
         frequency = np.zeros(len(chosen.vocabulary) + 1)
         for r in facts.filter("word >= 0").groupBy("word").agg(F.sum("n").alias("n")).collect():  # one number per word of the items
             frequency[r["word"]] = r["n"]
         chosen.weigh(frequency[:-1], int(frequency[-1]))
-        drawn = facts.filter("word = -1 and size(number) > 0").select("number", "times")
-        planted = [(np.array(r["number"]), np.array(r["times"])) for r in drawn.orderBy(F.xxhash64("number", "times")).limit(256).collect()]
-        own = spark.createDataFrame([(n.tolist(), np.round(v / chosen.idf[n]).astype(int).tolist()) for n, v in chosen.vectors], drawn.schema)
-        matrix = own.unionByName(drawn).repartition(1 + (len(chosen.ids) + SAMPLE) // 512).mapInArrow(_weighed(chosen.idf), "number array<long>, value array<double>")
-        found = rows.mapInArrow(_candidates(chosen, latent_space(chosen, matrix, planted)), FOUND)
+        used = facts.filter("word = -1").select("number", "times")
+        own = spark.createDataFrame([(n.tolist(), np.round(v / chosen.idf[n]).astype(int).tolist()) for n, v in chosen.vectors], used.schema)
+        tasks = min(TASKS, 1 + int(frequency[-1]) // TASK_ROWS)
+        matrix = own.unionByName(used).coalesce(tasks).mapInArrow(_weighed(chosen.idf), "number array<int>, value array<double>")
+        found = rows.mapInArrow(_candidates(chosen, latent_space(chosen, matrix)), FOUND)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], FOUND)
 

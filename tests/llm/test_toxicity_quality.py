@@ -99,3 +99,46 @@ def test_misspellings_of_terms_that_a_stem_covers(spark):
         assert lexicon.match("ach" + end)[0] == 2
         assert lexicon.match("ahc" + end)[0] == lexicon.match("xch" + end)[0] == 3
     assert lexicon.match("zebra")[0] == 0
+
+
+def test_quality_learns_from_every_labelled_row(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    docs = docs_of(spark, [(i, " ".join(rng.choice(["tree", "House", "12", "sea!"], 5 + i % 7))) for i in range(90)], clash=False)
+    labels = spark.createDataFrame([(i, int(i % 7 < 3)) for i in range(90)], "doc_id long, quality int")
+    seen, plain = [], quality.Additive.of_parts
+
+    def watched(means):
+        def ask(question):
+            seen.append(means(lambda part: [np.array([float(len(part.x))])])[0][0])
+            return means(question)
+        return plain(ask)
+
+    used = quality.training_rows(labels, "quality", 3, 1, None).count()
+    monkeypatch.setattr(quality.Additive, "of_parts", watched)
+    whole = {r["doc_id"]: r["score"] for r in quality.score(docs, labels).collect()}
+    assert set(seen) == {used}
+    # Parts of a few rows: all are asked, and labels that are too many to be sent give the same.
+    monkeypatch.setattr(quality, "PART", 20)
+    parts = quality.score(docs, labels).orderBy("doc_id").collect()
+    monkeypatch.setattr(quality, "SENT", 10)
+    assert quality.score(docs, labels).orderBy("doc_id").collect() == parts
+    assert {r["doc_id"] for r in parts} == set(whole) and {r["score"] for r in parts} != set(whole.values())
+    table = spark.createDataFrame([(i % 3, [float(i), 1.0], i % 2) for i in range(50)], "part int,f array<double>,label int")
+    (mean,), (ones,) = quality._means(table)(lambda part: [part.x.mean(0)]), quality._means(table)(lambda part: [part.y.mean()[None]])
+    np.testing.assert_allclose(mean, [24.5, 1.0])
+    np.testing.assert_allclose(ones, [0.5])
+
+
+def test_quality_blocks_of_texts_are_bounded(spark, monkeypatch):
+    import pyarrow as pa
+
+    sizes = []
+    batch = pa.record_batch([pa.array(range(500)), pa.array(["some words here " * 20] * 499 + [None])], ["doc_id", "text"])
+    monkeypatch.setattr(quality, "BLOCK", 4096)
+    found = list(quality._slices([batch], 1))
+    for rows, texts in found:
+        sizes.append(sum(len(t) for t in texts.to_pylist()))
+        assert [t or None for t in texts.to_pylist()] == rows.column(1).to_pylist()
+    assert max(sizes) <= 4096 and sum(r.num_rows for r, _ in found) == 500

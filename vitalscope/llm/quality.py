@@ -6,26 +6,40 @@ each, and end up as one lookup table per feature; then the pairs of features wit
 the largest gain on the residual get a table each in the same way. A score is the
 sum of the tables' entries at a text's bins.
 
-The model is fitted on at most ``TRAIN`` labelled rows taken by a hash of doc_id.
-Every row of the input is measured and scored over its whole text, map-only.
+The model is fitted on every labelled row. Their features are dealt by a hash of doc_id
+into parts of about ``PART`` rows; each part is fitted in a task of its own, on bins that
+all parts share, and the tables are averaged by rows, which gives one additive model again. The pairs
+are those with the largest gain over all parts, boosted on the residual of the averaged
+tables. Up to ``PART`` rows are one part. Every row of the input is measured and scored
+over its whole text, map-only.
 
 Defined cases: null and empty texts have all features 0; labels that are null
 count as absent, and a doc_id with several labels takes the largest; without
 labels of both kinds every score is the share of label 1, or 0; repeated rows
 score alike; a null doc_id is never a training row and not held out; an empty
-table gives no rows; other columns are ignored.
+table gives no rows; other columns are ignored. Rows of one doc_id are in one part.
 """
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Words, blocks, window_hashes, with_id
+from vitalscope.session import is_small
+
+from .common import Words, blocks, stored, window_hashes, with_id
 from .toxicity import remainder, training_rows
 
-TRAIN = 20_000
+PART = 20_000
+# Labels are sent to the texts below this number, beyond it features are shuffled.
+SENT = 100_000
+# Texts are measured in blocks of this many bytes: a block takes about sixty times its size.
+BLOCK = 1 << 19
 BINS, PAIR_BINS, PAIRS = 48, 12, 8
 ROUNDS, RATE, RIDGE = 160, 0.12, 4.0
 
@@ -140,43 +154,87 @@ def _corner(g: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray]:
     return float(gain[i, j]), out
 
 
-class Additive:
-    """Lookup tables per feature and per chosen pair of features."""
+GRID, COARSE = np.linspace(0, 1, BINS + 1)[1:-1], np.linspace(0, 1, PAIR_BINS + 1)[1:-1]
+
+
+class Part:
+    """Some labelled rows, and what a fit asks of them."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray) -> None:
-        share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
-        self.constant = float(np.log(share / (1 - share)))
-        grid = np.linspace(0, 1, BINS + 1)[1:-1]
-        self.edges = [np.unique(np.quantile(column, grid)) for column in x.T]
-        coarse = np.linspace(0, 1, PAIR_BINS + 1)[1:-1]
-        self.coarse = [np.unique(np.quantile(column, coarse)) for column in x.T]
-        self.tables = [np.zeros(len(e) + 1) for e in self.edges]
-        bins = self._bins(x, self.edges)
-        total = np.full(len(x), self.constant)
+        order = np.lexsort((*x.T, y))  # the fit does not depend on the order of the rows
+        self.x, self.y = x[order], y[order].astype(float)
+
+    def quantiles(self) -> list[np.ndarray]:
+        """Quantiles of every feature for its bins and for those of pairs, and the share of label 1."""
+        both = np.concatenate([GRID, COARSE])
+        return [np.quantile(self.x, both, axis=0), np.array([self.y.mean()])]
+
+    def singles(self, model: Additive) -> list[np.ndarray]:
+        """Tables of the single features, one after the other, and the gain of every pair on their residual."""
+        tables = [np.zeros(len(e) + 1) for e in model.edges]
+        bins, total = model._bins(self.x, model.edges), np.full(len(self.x), model.constant)
         for _ in range(ROUNDS):
-            for f, table in enumerate(self.tables):
+            for f, table in enumerate(tables):
                 p = _sigmoid(total)
                 step = RATE * _tree(
-                    np.bincount(bins[f], y - p, len(table)), np.bincount(bins[f], p * (1 - p), len(table))
+                    np.bincount(bins[f], self.y - p, len(table)), np.bincount(bins[f], p * (1 - p), len(table))
                 )
                 table += step
                 total += step[bins[f]]
-        self.pairs: list[tuple[int, int, np.ndarray]] = []
-        cells = self._bins(x, self.coarse)
-        p = _sigmoid(total)
-        gains = []
-        for i in range(x.shape[1]):
-            for j in range(i):
-                if len(self.coarse[i]) and len(self.coarse[j]):
-                    gains.append((_corner(*self._cells(cells, i, j, y - p, p * (1 - p)))[0], i, j))
-        chosen = sorted(gains, reverse=True)[:PAIRS]
-        self.pairs = [(i, j, np.zeros((len(self.coarse[i]) + 1, len(self.coarse[j]) + 1))) for _, i, j in chosen]
+        cells, p = model._bins(self.x, model.coarse), _sigmoid(total)
+        gains = [_corner(*model._cells(cells, i, j, self.y - p, p * (1 - p)))[0] for i, j in model.possible()]
+        return [np.concatenate(tables), np.array(gains)]
+
+    def doubles(self, model: Additive) -> list[np.ndarray]:
+        """Tables of the model's pairs, boosted on the residual of its single features."""
+        tables = [np.zeros(t.shape) for _, _, t in model.pairs]
+        cells, total = model._bins(self.x, model.coarse), model.singles(self.x)
         for _ in range(ROUNDS // 4):
-            for i, j, table in self.pairs:
+            for (i, j, _), table in zip(model.pairs, tables):
                 p = _sigmoid(total)
-                step = RATE * _corner(*self._cells(cells, i, j, y - p, p * (1 - p)))[1]
+                step = RATE * _corner(*model._cells(cells, i, j, self.y - p, p * (1 - p)))[1]
                 table += step
                 total += step[cells[i], cells[j]]
+        return [np.concatenate([t.ravel() for t in tables])]
+
+
+# Asks every part for some arrays and returns their means by rows.
+Means = Callable[[Callable[[Part], list[np.ndarray]]], list[np.ndarray]]
+
+
+class Additive:
+    """Lookup tables per feature and per chosen pair of features, of one part or of many."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray) -> None:
+        part = Part(x, y)
+        self._fit(lambda ask: ask(part))
+
+    @classmethod
+    def of_parts(cls, means: Means) -> Additive:
+        model = cls.__new__(cls)
+        model._fit(means)
+        return model
+
+    def _fit(self, means: Means) -> None:
+        quantiles, share = means(Part.quantiles)
+        share = np.clip(share[0], 1e-3, 1 - 1e-3)
+        self.constant = float(np.log(share / (1 - share)))
+        self.edges = [np.unique(q) for q in quantiles[:len(GRID)].T]
+        self.coarse = [np.unique(q) for q in quantiles[len(GRID):].T]
+        self.pairs: list[tuple[int, int, np.ndarray]] = []
+        tables, gains = means(lambda part: part.singles(self))
+        self.tables = np.split(tables, np.cumsum([len(e) + 1 for e in self.edges])[:-1])
+        chosen = sorted(((g, i, j) for g, (i, j) in zip(gains, self.possible())), reverse=True)[:PAIRS]
+        self.pairs = [(i, j, np.zeros((len(self.coarse[i]) + 1, len(self.coarse[j]) + 1))) for _, i, j in chosen]
+        (found,) = means(lambda part: part.doubles(self)) if self.pairs else [np.zeros(0)]
+        at = 0
+        for _, _, table in self.pairs:
+            table += found[at:at + table.size].reshape(table.shape)
+            at += table.size
+
+    def possible(self) -> list[tuple[int, int]]:
+        """The pairs of features that have more than one bin each."""
+        return [(i, j) for i in range(len(self.coarse)) for j in range(i) if len(self.coarse[i]) and len(self.coarse[j])]
 
     @staticmethod
     def _bins(x: np.ndarray, edges: list[np.ndarray]) -> list[np.ndarray]:
@@ -187,48 +245,98 @@ class Additive:
         flat = cells[i] * shape[1] + cells[j]
         return [np.bincount(flat, v, shape[0] * shape[1]).reshape(shape) for v in values]
 
-    def score(self, x: np.ndarray) -> np.ndarray:
+    def singles(self, x: np.ndarray) -> np.ndarray:
         total = np.full(len(x), self.constant)
         for table, bins in zip(self.tables, self._bins(x, self.edges)):
             total += table[bins]
+        return total
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        total = self.singles(x)
         cells = self._bins(x, self.coarse)
         for i, j, table in self.pairs:
             total += table[cells[i], cells[j]]
         return _sigmoid(total)
 
 
-def _measured(batches):
+def _slices(batches, text: int):
+    """The rows of some batches in pieces of about BLOCK bytes of text, with their texts."""
     for batch in batches:
-        for at, texts in blocks(batch.column(1)):
-            f = measure(texts)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(list(f), pa.list_(pa.float64()))], ["doc_id", "f"])
+        column = batch.column(text)
+        step = max(1, len(column) * BLOCK // max(1, column.nbytes))  # rows that are cast at once
+        for first in range(0, len(column), step):
+            for at, texts in blocks(column.slice(first, step), BLOCK):
+                yield batch.slice(first + at, len(texts)), texts
+
+
+def _measured(batches):
+    for rows, texts in _slices(batches, 1):
+        yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(list(measure(texts)), pa.list_(pa.float64()))], ["doc_id", "f"])
+
+
+def _measured_and_scored(model: Additive):
+    def run(batches):
+        for rows, texts in _slices(batches, 1):
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(model.score(measure(texts)), pa.float64())], ["doc_id", "score"])
+    return run
 
 
 def _scored(model: Additive):
     def run(batches):
         for batch in batches:
-            for at, texts in blocks(batch.column(1)):
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(texts)), pa.array(model.score(measure(texts)), pa.float64())], ["doc_id", "score"]
-                )
+            x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x), pa.float64())], ["doc_id", "score"])
     return run
 
 
+def _means(table: DataFrame) -> Means:
+    """Means over the parts of ``table`` (part, f, label). A task holds one part; its arrays are short at any size."""
+    schema = "part int,n long,sums binary"
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("part")
+        sums = [sum(arrays) for arrays in zip(*map(pickle.loads, pdf["sums"]))]
+        return pd.DataFrame({"part": pdf["part"].iloc[:1], "n": [pdf["n"].sum()], "sums": [pickle.dumps(sums)]})
+
+    def means(ask: Callable[[Part], list[np.ndarray]]) -> list[np.ndarray]:
+        def asked(pdf: pd.DataFrame) -> pd.DataFrame:
+            found = ask(Part(np.stack(pdf["f"]), pdf["label"].to_numpy() > 0))
+            return pd.DataFrame({"part": pdf["part"].iloc[:1], "n": len(pdf), "sums": [pickle.dumps([v * len(pdf) for v in found])]})
+
+        sums = table.groupBy("part").applyInPandas(asked, schema)
+        sums = sums.groupBy(F.pmod("part", F.lit(32))).applyInPandas(added, schema)
+        total = added(sums.toPandas())
+        return [v / total["n"].iloc[0] for v in pickle.loads(total["sums"].iloc[0])]
+    return means
+
+
+def features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id and the features of every row."""
+    return with_id(docs, key, text).mapInArrow(_measured, "doc_id long, f array<double>")
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality",
     modulus: int = 3, left_out: int = 1,
-) -> Additive | float:
-    """The model, or a constant score where the labels are of one kind."""
-    given = training_rows(labels, label, modulus, left_out, TRAIN)
-    rows = with_id(docs, key, text).join(F.broadcast(given), "doc_id").select("doc_id", "text")
-    measured = rows.mapInArrow(_measured, "doc_id long, f array<double>").join(F.broadcast(given), "doc_id")
-    table = measured.select("f", "label").toArrow()  # at most TRAIN short rows
-    y = np.array(table["label"].to_pylist(), float) > 0
-    if len(y) == 0 or y.all() or not y.any():
-        return float(y.mean()) if len(y) else 0.0
-    x = np.array(table["f"].combine_chunks().values).reshape(len(y), -1)
-    order = np.lexsort((*x.T, y))  # the fit does not depend on the order of the rows
-    return Additive(x[order], y[order].astype(float))
+) -> tuple[Additive | float, DataFrame | None]:
+    """The model of all labelled rows, or a constant score where the labels are of one kind.
+
+    Few labels are sent to the texts, and only their texts are measured. Otherwise all rows are, and
+    their stored ``features`` are the second result.
+    """
+    given, measured = training_rows(labels, label, modulus, left_out, None), None
+    if is_small(given, SENT):
+        own = with_id(docs, key, text).join(F.broadcast(given), "doc_id").select("doc_id", "text")
+        known = features(own).join(F.broadcast(given), "doc_id")
+    else:
+        measured = stored(features(docs, key, text))
+        known = measured.join(given, "doc_id")
+    known = stored(known.select("doc_id", "f", "label"))
+    n, ones = known.agg(F.count("*"), F.coalesce(F.sum((F.col("label") > 0).cast("long")), F.lit(0))).first()
+    if ones in (0, n):
+        return (1.0 if ones else 0.0), measured
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(-(-n // PART))).cast("int")
+    return Additive.of_parts(_means(known.select(part.alias("part"), "f", "label"))), measured
 
 
 def score(
@@ -236,9 +344,14 @@ def score(
     modulus: int = 3, left_out: int = 1,
 ) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``."""
-    model = fit(docs, labels, key, text, label, modulus, left_out)
+    model, measured = fit(docs, labels, key, text, label, modulus, left_out)
     rows = with_id(docs, key, text)
-    scored = rows.select("doc_id", F.lit(model).alias("score")) if isinstance(model, float) else rows.mapInArrow(_scored(model), "doc_id long, score double")
+    if isinstance(model, float):
+        scored = rows.select("doc_id", F.lit(model).alias("score"))
+    elif measured is not None:
+        scored = measured.mapInArrow(_scored(model), "doc_id long, score double")
+    else:
+        scored = rows.mapInArrow(_measured_and_scored(model), "doc_id long, score double")
     return scored.select(
         "doc_id", F.coalesce(remainder(F.col("doc_id"), modulus) == left_out, F.lit(False)).alias("held_out"),
         "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
@@ -250,15 +363,13 @@ def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
     The score is added next to the row itself, so nothing is joined or shuffled.
     """
-    model = fit(docs, labels, key, text)
+    model, _ = fit(docs, labels, key, text)
     if isinstance(model, float):
         return docs if model >= least or model == 0.0 else docs.limit(0)
 
     position = docs.columns.index(text)
 
     def run(batches):
-        for batch in batches:
-            column = batch.column(position).cast(pa.large_string())
-            keep = np.concatenate([model.score(measure(t)) >= least for _, t in blocks(column)] or [np.zeros(0, bool)])
-            yield batch.filter(pa.array(keep))
+        for rows, texts in _slices(batches, position):
+            yield rows.filter(pa.array(model.score(measure(texts)) >= least))
     return docs.mapInArrow(run, docs.schema)

@@ -50,12 +50,13 @@ def remainder(key: Column, modulus: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % modulus
 
 
-def training_rows(labels: DataFrame, name: str, modulus: int, left_out: int, limit: int = TRAIN) -> DataFrame:
-    """doc_id and label of at most ``limit`` rows outside the held-out fold."""
+def training_rows(labels: DataFrame, name: str, modulus: int, left_out: int, limit: int | None = TRAIN) -> DataFrame:
+    """doc_id and label of the rows outside the held-out fold, at most ``limit`` of them."""
     rows = labels.select(F.col("doc_id").cast("long"), F.col(name).cast("int").alias("label")).filter(
         F.col("label").isNotNull() & (remainder(F.col("doc_id"), modulus) != left_out)
     )
-    return rows.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    rows = rows.groupBy("doc_id").agg(F.max("label").alias("label"))
+    return rows if limit is None else rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
 
 class Lexicon:

@@ -118,7 +118,12 @@ def test_quality_learns_from_every_labelled_row(spark, monkeypatch):
     used = quality.training_rows(labels, "quality", 3, 1, None).count()
     monkeypatch.setattr(quality.Additive, "of_parts", watched)
     whole = {r["doc_id"]: r["score"] for r in quality.score(docs, labels).collect()}
-    assert set(seen) == {used}
+    assert seen and set(seen) == {float(used)}
+    # One part: the model is that of all rows at once, to the last digit.
+    rows = quality.features(docs).join(quality.training_rows(labels, "quality", 3, 1, None), "doc_id").collect()
+    model = quality.Additive(np.array([r["f"] for r in rows]), np.array([r["label"] > 0 for r in rows]))
+    texts = {r["doc_id"]: r["f"] for r in quality.features(docs).collect()}
+    assert whole == {i: float(model.score(np.array([f]))[0]) for i, f in texts.items()}
     # Parts of a few rows: all are asked, and labels that are too many to be sent give the same.
     monkeypatch.setattr(quality, "PART", 20)
     parts = quality.score(docs, labels).orderBy("doc_id").collect()
@@ -126,7 +131,7 @@ def test_quality_learns_from_every_labelled_row(spark, monkeypatch):
     assert quality.score(docs, labels).orderBy("doc_id").collect() == parts
     assert {r["doc_id"] for r in parts} == set(whole) and {r["score"] for r in parts} != set(whole.values())
     table = spark.createDataFrame([(i % 3, [float(i), 1.0], i % 2) for i in range(50)], "part int,f array<double>,label int")
-    (mean,), (ones,) = quality._means(table)(lambda part: [part.x.mean(0)]), quality._means(table)(lambda part: [part.y.mean()[None]])
+    mean, ones = quality._means(table, 50)(lambda part: [part.x.mean(0), part.y.mean()[None]])
     np.testing.assert_allclose(mean, [24.5, 1.0])
     np.testing.assert_allclose(ones, [0.5])
 

@@ -289,24 +289,26 @@ def _scored(model: Additive):
     return run
 
 
-def _means(table: DataFrame) -> Means:
-    """Means over the parts of ``table`` (part, f, label). A task holds one part; its arrays are short at any size."""
-    schema = "part int,n long,sums binary"
+def _means(table: DataFrame, n: int) -> Means:
+    """Means over the parts of ``table`` (part, f, label; ``n`` rows). A task holds one part; its arrays are short at any size.
+
+    Arrays are weighted by the part's share of the rows: those of a single part stay as they are.
+    """
+    schema = "part int,sums binary"
 
     def added(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("part")
         sums = [sum(arrays) for arrays in zip(*map(pickle.loads, pdf["sums"]))]
-        return pd.DataFrame({"part": pdf["part"].iloc[:1], "n": [pdf["n"].sum()], "sums": [pickle.dumps(sums)]})
+        return pd.DataFrame({"part": pdf["part"].iloc[:1], "sums": [pickle.dumps(sums)]})
 
     def means(ask: Callable[[Part], list[np.ndarray]]) -> list[np.ndarray]:
         def asked(pdf: pd.DataFrame) -> pd.DataFrame:
             found = ask(Part(np.stack(pdf["f"]), pdf["label"].to_numpy() > 0))
-            return pd.DataFrame({"part": pdf["part"].iloc[:1], "n": len(pdf), "sums": [pickle.dumps([v * len(pdf) for v in found])]})
+            return pd.DataFrame({"part": pdf["part"].iloc[:1], "sums": [pickle.dumps([v * (len(pdf) / n) for v in found])]})
 
         sums = table.groupBy("part").applyInPandas(asked, schema)
         sums = sums.groupBy(F.pmod("part", F.lit(32))).applyInPandas(added, schema)
-        total = added(sums.toPandas())
-        return [v / total["n"].iloc[0] for v in pickle.loads(total["sums"].iloc[0])]
+        return pickle.loads(added(sums.toPandas())["sums"].iloc[0])
     return means
 
 
@@ -336,7 +338,7 @@ def fit(
     if ones in (0, n):
         return (1.0 if ones else 0.0), measured
     part = F.pmod(F.xxhash64("doc_id"), F.lit(-(-n // PART))).cast("int")
-    return Additive.of_parts(_means(known.select(part.alias("part"), "f", "label"))), measured
+    return Additive.of_parts(_means(known.select(part.alias("part"), "f", "label"), n)), measured
 
 
 def score(

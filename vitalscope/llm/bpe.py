@@ -4,9 +4,9 @@ Texts are cut into blocks of about ``BLOCK`` bytes. A block holds every text as
 indexes and lists the distinct matches of the split pattern that are no tokens
 themselves and that no earlier block of its task had. Spark higher-order
 functions then fold the ranked merges over the byte arrays of these words:
-the state holds the token ids of a match and, between neighbours, the id
-of their merged pair; a step merges the lowest (leftmost at a tie) and looks up
-the two pairs that the new token makes. The rank map is a literal in the plan.
+the state holds a number for every token of a match, made of the id of its merged
+pair with the next, its place and its own id; a step merges the lowest (leftmost at a tie)
+and looks up the two pairs that the new token makes. The rank map is a literal in the plan.
 At last a text's ids are gathered by its indexes from the words folded so far in
 the task, and decoding concatenates the binary pieces of the ids.
 
@@ -120,28 +120,44 @@ class RankMap:
         return _bound(self.literal(), lambda tables: F.transform(words, lambda ids: self._fold(tables, ids)))
 
     def _fold(self, tables: Column, ids: Column) -> Column:
-        nothing = F.array().cast("array<long>")
+        """A number per token: the id it makes with its right neighbour, its place in the match and its own id.
 
-        def step(state: Column, _: Column) -> Column:
-            ids, gaps = state["ids"], state["gaps"]
+        The smallest number is the next merge, leftmost at a tie. A first entry without a token spares the left end a case of its own.
+        """
+        own = F.lit((1 << 20) - 1)
+
+        def gap(left: Column, right: Column) -> Column:
+            return F.shiftleft(F.least(self.merged(tables, left, right), F.lit(NONE).cast("long")), 40)
+
+        def kept(entry: Column) -> Column:
+            return entry.bitwiseAND(F.lit((1 << 40) - 1))
+
+        def token(entry: Column) -> Column:
+            return entry.bitwiseAND(own).cast("int")
 
+        def step(state: Column, _: Column) -> Column:
             def merge(best: Column) -> Column:
+                new = F.shiftright(best, 40).cast("int")
+
                 def at(i: Column) -> Column:
-                    token = best.cast("int")
-                    left = F.when(i > 1, F.array(self.merged(tables, F.get(ids, i - 2), token))).otherwise(nothing)
-                    right = F.when(i < F.size(gaps), F.array(self.merged(tables, token, F.get(ids, i + 1)))).otherwise(nothing)
-                    return F.struct(
-                        F.concat(F.slice(ids, 1, i - 1), F.array(token), F.slice(ids, i + 2, F.size(ids))).alias("ids"),
-                        F.concat(F.slice(gaps, 1, F.greatest(i - 2, F.lit(0))), left, right, F.slice(gaps, i + 2, F.size(ids))).alias("gaps"),
+                    before = F.get(state, i - 2)
+                    both = F.array(
+                        gap(token(before), new) + kept(before),
+                        gap(new, token(F.get(state, i + 1))) + kept(best) - best.bitwiseAND(own) + new,
                     )
-                merged = _bound(F.array_position(gaps, best).cast("int"), at)
-                return F.when(best < NONE, merged).otherwise(state)
-            return _bound(F.array_min(gaps), merge)
+                    return F.concat(F.slice(state, 1, i - 2), both, F.slice(state, i + 2, F.size(state)))
+
+                return F.when(best < NONE << 40, _bound(F.array_position(state, best).cast("int"), at)).otherwise(state)
+
+            return _bound(F.array_min(state), merge)
 
         few = F.size(ids) - 1
-        gaps = F.zip_with(F.slice(ids, 1, few), F.slice(ids, 2, few), lambda a, b: self.merged(tables, a, b))
-        start = F.struct(ids.alias("ids"), gaps.alias("gaps"))
-        return F.when(few < 1, ids).otherwise(F.aggregate(F.sequence(F.lit(1), few), start, step, lambda s: s["ids"]))
+        entries = F.transform(ids, lambda x, i: gap(x, F.get(ids, i + 1)) + F.shiftleft(i.cast("long"), 20) + x)
+        start = F.concat(F.array(F.lit((NONE << 40) + NONE - 1).cast("long")), entries)
+        folded = F.aggregate(
+            F.sequence(F.lit(1), few), start, step, lambda s: F.transform(F.slice(s, 2, F.size(s)), token)
+        )
+        return F.when(few < 1, ids).otherwise(folded)
 
 
 def _bound(value: Column, body) -> Column:

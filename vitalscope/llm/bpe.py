@@ -2,14 +2,20 @@
 
 Texts are cut into blocks of about ``BLOCK`` bytes. A block holds every text as
 indexes and lists the distinct matches of the split pattern that are no tokens
-themselves and that no earlier block of its task had. Spark higher-order
-functions then fold the ranked merges over the byte arrays of these words:
-the state holds a number for every token of a match, made of the id of its merged
-pair with the next, its place and its own id; a step merges the lowest (leftmost at a tie)
-and looks up the two pairs that the new token makes. The rank map is a literal in the plan.
+themselves and that no earlier block of its task had, each as a string with one
+character per token, at first one per byte. Spark higher-order functions then fold
+the ranked merges over these words: the rank map is a literal in the plan, for every
+token its pair of characters and its own, and a step puts the token wherever its pair stands.
 At last a text's ids are gathered by its indexes from the words folded so far in
 the task, and decoding concatenates the binary pieces of the ids.
 
+One step per token is exact. Where merging the lowest pair (leftmost at a tie) makes
+a token, it never merges across the token's ends before, so inside it does the same
+as on the token alone: a token has one last pair, or is never made. Where each token
+ranks above both of its pair, merges go through the ranks once, upwards. Only tokens
+whose bytes occur in a word can be made in it; a walk of a trie over all words of a block finds them.
+A rank file that breaks this order is folded by ``RankMap``, which looks up the lowest pair anew for every merge.
+
 Nothing is shuffled or collected. Blocks stay in their task and in their order, as
 rows of a few narrow steps, so a word is folded once per task. Both ends forget
 the words at the first block that finds more than ``KNOWN`` of them, which bounds
@@ -41,6 +47,7 @@ BLOCK = 1 << 20
 KNOWN = 1 << 18
 LONG = 400
 NONE = 1 << 20  # above every id
+FIRST = 0x100  # the character of token 0
 # White space beyond ASCII: texts with it are split whole, not unit by unit.
 _OTHER_SPACE = regex.compile(r"[\x1c-\x1f\x85\xa0  -     　]")
 
@@ -64,6 +71,121 @@ def pair_ids(tokens: list[bytes]) -> dict[tuple[int, int], int]:
     }
 
 
+def char(token: int) -> str:
+    """One character per token, none of them a surrogate."""
+    code = token + FIRST
+    return chr(code + 0x800 * (code >= 0xD800))
+
+
+def codes(ids: np.ndarray) -> np.ndarray:
+    """The code points of the tokens' characters."""
+    code = ids.astype(np.uint32) + np.uint32(FIRST)
+    return code + np.uint32(0x800) * (code >= 0xD800)
+
+
+def ids_of(characters: np.ndarray) -> np.ndarray:
+    return characters - np.uint32(0x800) * (characters > 0xDFFF) - np.uint32(FIRST)
+
+
+class Merges:
+    """The last pair of every token that merging by rank can make, and a trie of these tokens' bytes."""
+
+    def __init__(self, tokens: list[bytes]) -> None:
+        whole = {t: i for i, t in enumerate(tokens) if t}
+        self.pairs: list[tuple[int, int] | None] = [None] * len(tokens)
+        for token, i in whole.items():
+            parts = [token[k:k + 1] for k in range(len(token))]
+            while len(parts) > 2:
+                rank, k = min((whole.get(parts[k] + parts[k + 1], NONE), k) for k in range(len(parts) - 1))
+                if rank == NONE:
+                    break
+                parts[k:k + 2] = [parts[k] + parts[k + 1]]
+            if len(parts) == 2:
+                self.pairs[i] = whole[parts[0]], whole[parts[1]]
+        self.ordered = all(
+            i > x for i, pair in enumerate(self.pairs) if pair for x in pair if len(tokens[x]) > 1
+        )
+        edges: dict[int, int] = {}
+        ends = [-1]
+        for i, token in enumerate(tokens):
+            node = 0
+            for byte in token if self.pairs[i] else b"":
+                key = node << 8 | byte
+                node = edges.get(key, 0)
+                if not node:
+                    node = edges[key] = len(ends)
+                    ends.append(-1)
+            if node:
+                ends[node] = i
+        self.edges, self.ends = np.array(list(edges), np.int64), np.array(ends, np.int32)
+
+    def fold(self, words: Column, made: Column) -> Column:
+        """Every word (a character per token) after the merges of ``made``, tokens by rank."""
+        def read(values: list[str]) -> Column:
+            return F.split(F.lit(",".join(values)), ",")
+
+        pairs = [char(p[0]) + char(p[1]) if p else "" for p in self.pairs]
+        tables = F.struct(read(pairs).alias("pairs"), read([char(i) for i in range(len(pairs))]).alias("tokens"))
+
+        def folded(t: Column) -> Column:
+            def step(word: Column, token: Column) -> Column:
+                return F.replace(word, F.get(t["pairs"], token), F.get(t["tokens"], token))
+
+            return F.zip_with(words, made, lambda word, own: F.aggregate(own, word, step))
+
+        return _bound(tables, folded)
+
+
+class Occurring:
+    """Which tokens occur in the bytes of words: the trie as a hash table, walked from all bytes at once."""
+
+    def __init__(self, edges: np.ndarray, ends: np.ndarray) -> None:
+        self.ends = ends
+        bits = (4 * len(edges) + 8).bit_length()
+        self.mask, self.shift = (1 << bits) - 1, np.uint64(64 - bits)
+        self.keys, self.next = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        left, at = np.arange(len(edges)), self._slot(edges)
+        while len(left):
+            put = np.zeros(len(left), bool)
+            put[np.unique(at, return_index=True)[1]] = True
+            put &= self.keys[at] < 0
+            self.keys[at[put]], self.next[at[put]] = edges[left[put]], left[put] + 1
+            left, at = left[~put], (at[~put] + 1) & self.mask
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def _step(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The node after ``byte``; 0 where the trie has none."""
+        key = node.astype(np.int64) << 8 | byte
+        at = self._slot(key)
+        found = self.keys[at]
+        out = np.where(found == key, self.next[at], 0)
+        open_ = np.flatnonzero((found != key) & (found >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & self.mask
+            found = self.keys[at[open_]]
+            hit = found == key[open_]
+            out[open_[hit]] = self.next[at[open_[hit]]]
+            open_ = open_[~hit & (found >= 0)]
+        return out
+
+    def __call__(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct tokens of each word by rank: (tokens, tokens per word). The words are ``data`` cut by ``sizes``."""
+        word, end = np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.cumsum(sizes), sizes)
+        at, found = np.arange(len(data)), [np.zeros(0, np.int64)]
+        node = np.zeros(len(data), np.int32)
+        while len(at):
+            node = self._step(node, data[at])
+            token = self.ends[node]
+            made = np.flatnonzero(token >= 0)
+            found.append(word[made] << 32 | token[made])
+            fine = np.flatnonzero((node > 0) & (at + 1 < end))
+            at, node, word, end = at[fine] + 1, node[fine], word[fine], end[fine]
+        every = np.unique(np.concatenate(found))
+        return (every & 0xFFFFFFFF).astype(np.int32), np.bincount(every >> 32, minlength=len(sizes))
+
+
 class RankMap:
     """The pair table as folded literals: rows of one left token each, laid into one array.
 
@@ -84,7 +206,7 @@ class RankMap:
             apart = own - own[0]
             at = first
             while True:  # the first place where all entries of the row are free
-                if at + tokens + 4096 > len(taken):
+                while at + tokens + 4096 > len(taken):
                     taken = np.append(taken, np.zeros(len(taken), bool))
                 free = at + np.flatnonzero(~taken[at:at + 4096])
                 fits = free[~taken[free[:, None] + apart[1:]].any(1)] if len(apart) > 1 else free
@@ -115,9 +237,16 @@ class RankMap:
         entry = F.get(tables["entries"], F.get(tables["offsets"], left) + right)
         return entry.bitwiseXOR(F.shiftleft(left.cast("long"), 20))
 
-    def fold(self, words: Column) -> Column:
-        """Every word's ids, left when no neighbours merge any more."""
-        return _bound(self.literal(), lambda tables: F.transform(words, lambda ids: self._fold(tables, ids)))
+    def fold(self, words: Column, characters: list[str]) -> Column:
+        """Every word (a character per token), left when no neighbours merge any more."""
+        tables = F.struct(self.literal().alias("map"), F.split(F.lit(",".join(characters)), ",").alias("tokens"))
+
+        def word(t: Column, text: Column) -> Column:
+            code = F.transform(F.split(text, ""), F.ascii)
+            ids = F.transform(code, lambda c: F.when(c > 0xDFFF, c - 0x800 - FIRST).otherwise(c - FIRST))
+            return F.array_join(F.transform(_bound(ids, lambda x: self._fold(t["map"], x)), lambda i: F.get(t["tokens"], i)), "")
+
+        return _bound(tables, lambda t: F.transform(words, lambda text: word(t, text)))
 
     def _fold(self, tables: Column, ids: Column) -> Column:
         """A number per token: the id it makes with its right neighbour, its place in the match and its own id.
@@ -188,8 +317,18 @@ def _heap_merge(ids: list[int], tokens: list[bytes], whole: dict[bytes, int]) ->
     return [x for x, a in zip(ids, alive) if a]
 
 
-def _prepared(tokens: list[bytes], pattern: str):
-    def block(ids: list, texts: list[str], whole: dict, single: list, split, known: dict[str, int]) -> pa.RecordBatch:
+def _written(words: list[np.ndarray]) -> pa.Array:
+    """Words of token ids as strings with a character per token."""
+    flat = codes(np.concatenate([np.zeros(0, np.int64), *words]))
+    wide = 1 + (flat >= 0x80) + (flat >= 0x800) + (flat >= 0x10000)
+    ends = np.cumsum(np.array([0, *map(len, words)]))
+    offsets = np.concatenate([[0], np.cumsum(wide)])[ends].astype(np.int32)
+    data = flat.astype("<u4").tobytes().decode("utf-32-le").encode()
+    return pa.Array.from_buffers(pa.string(), len(words), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _prepared(tokens: list[bytes], pattern: str, edges: np.ndarray, ends: np.ndarray):
+    def block(ids: list, texts: list[str], whole: dict, single: np.ndarray, split, known: dict, seen: dict, occurring) -> pa.RecordBatch:
         odd = {i for i, t in enumerate(texts) if _OTHER_SPACE.search(t)}
         pieces, counts = units(pa.array(["" if i in odd else t for i, t in enumerate(texts)], pa.large_string()))
         coded = pieces.dictionary_encode()
@@ -203,36 +342,51 @@ def _prepared(tokens: list[bytes], pattern: str):
                 if i in odd:
                     distinct.append(texts[i])
             index, counts = np.concatenate(chunks), np.array([len(c) for c in chunks])
-        if len(known) > KNOWN:
+        if len(known) > KNOWN or len(seen) > 2 * KNOWN:
             known.clear()
+            seen.clear()
         restart, words, parts, sizes = not known, [], [], []
         for unit in distinct:
-            matches = split.findall(unit)
-            sizes.append(len(matches))
-            for match in matches:
-                raw = match.encode()
-                number = whole.get(raw)
-                if number is None:
-                    number = known.get(match)
+            numbers = seen.get(unit)  # of all matches of a unit that came before
+            if numbers is None:
+                numbers = []
+                matches = split.findall(unit)
+                for match in matches:
+                    raw = match.encode()
+                    number = whole.get(raw)
                     if number is None:
-                        number = known[match] = len(tokens) + len(known)
-                        one = [single[b] for b in raw]
-                        words.append(one if len(one) <= LONG else _heap_merge(one, tokens, whole))
-                parts.append(number)
+                        number = known.get(match)
+                        if number is None:
+                            number = known[match] = len(tokens) + len(known)
+                            words.append(raw)
+                    numbers.append(number)
+                if len(unit) <= LONG:
+                    seen[unit] = numbers[0] if len(numbers) == 1 else numbers
+            elif numbers.__class__ is int:
+                parts.append(numbers)
+                sizes.append(1)
+                continue
+            parts += numbers
+            sizes.append(len(numbers))
+        short = [w if len(w) <= LONG else b"" for w in words]
+        made, each = occurring(np.frombuffer(b"".join(short), np.uint8), np.array([len(w) for w in short], np.int64))
+        begins = [single[np.frombuffer(w, np.uint8)] if len(w) <= LONG else np.array(_heap_merge(single[list(w)].tolist(), tokens, whole)) for w in words]
         values = {
             "ids": pa.array([ids], pa.list_(pa.int64())),
             "counts": pa.array([np.asarray(counts, np.int64).tobytes()], pa.binary()),
             "index": pa.array([index.tobytes()], pa.binary()),
             "sizes": pa.array([np.array(sizes, np.int32).tobytes()], pa.binary()),
             "parts": pa.array([np.array(parts, np.int32).tobytes()], pa.binary()),
-            "words": pa.array([words], pa.list_(pa.list_(pa.int32()))),
+            "words": _one(_written(begins)),
+            "made": _one(pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(each)]).astype(np.int32), pa.array(made))),
             "restart": pa.array([restart]),
         }
         return pa.RecordBatch.from_pydict(values)
 
     def run(batches):
         whole = {t: i for i, t in enumerate(tokens) if t}
-        tables = whole, [whole[bytes([b])] for b in range(256)], regex.compile(pattern), {}
+        single = np.array([whole[bytes([b])] for b in range(256)], np.int64)
+        tables = whole, single, regex.compile(pattern), {}, {}, Occurring(edges, ends)
         ids, texts, size = [], [], 0
         for batch in batches:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -248,6 +402,20 @@ def _prepared(tokens: list[bytes], pattern: str):
     return run
 
 
+def _one(rows: pa.Array) -> pa.Array:
+    """All rows as the list of one row."""
+    return pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
+
+
+def _read(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The token ids of written words: (ids, ids per word)."""
+    kind = np.int64 if pa.types.is_large_string(words.type) else np.int32
+    offsets = np.frombuffer(words.buffers()[1], kind)[words.offset:words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0]:offsets[-1]]
+    starts = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    return ids_of(np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)), np.diff(starts[offsets - offsets[0]])
+
+
 def _gather(values: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lists (values cut by sizes) picked by ``index``: (values, sizes)."""
     begins = np.cumsum(sizes) - sizes
@@ -271,8 +439,8 @@ def _gathered(tokens: list[bytes], full: bool):
                     values, word_sizes = own_tokens
                 words = batch.column(5)[row].values
                 if len(words):
-                    values = np.concatenate([values, words.flatten().to_numpy(zero_copy_only=False).astype(np.uint32)])
-                    word_sizes = np.concatenate([word_sizes, np.diff(words.offsets.to_numpy()).astype(np.int64)])
+                    more, each = _read(words)
+                    values, word_sizes = np.concatenate([values, more]), np.concatenate([word_sizes, each])
                 at, picked = np.cumsum(sizes) - sizes, sizes.astype(np.int64)
                 flat, each = _gather(values, word_sizes, parts)  # ids of all units in a row
                 reach = np.concatenate([[0], np.cumsum(each)])
@@ -313,11 +481,15 @@ def encode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text:
     and of the decoded bytes, in place of ids (array<int>) and decoded (binary).
     """
     tokens = load_ranks(ranks)
+    merges = Merges(tokens)
     blocks = with_id(docs, key, text).mapInArrow(
-        _prepared(tokens, pattern),
-        "ids array<long>, counts binary, index binary, sizes binary, parts binary, words array<array<int>>, restart boolean",
+        _prepared(tokens, pattern, merges.edges, merges.ends),
+        "ids array<long>, counts binary, index binary, sizes binary, parts binary, words array<string>, made array<array<int>>, restart boolean",
     )
-    ranked = RankMap(pair_ids(tokens))
-    folded = blocks.withColumn("words", ranked.fold(F.col("words")))
+    if merges.ordered:
+        words = merges.fold(F.col("words"), F.col("made"))
+    else:
+        words = RankMap(pair_ids(tokens)).fold(F.col("words"), [char(i) for i in range(len(tokens))])
+    folded = blocks.withColumn("words", words).drop("made")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, ids array<int>, decoded binary"
     return folded.mapInArrow(_gathered(tokens, not digests), schema)

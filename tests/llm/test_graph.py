@@ -31,3 +31,24 @@ def test_components_equal_brute_force(spark, monkeypatch, small):
 
 def test_no_links_no_rows(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_links_of_a_task_become_stars(spark, monkeypatch):
+    tables = []
+    own = graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df: tables.append(df) or own(df))
+    links = [(i, i + 1) for i in range(300)] + [(900, 900)]
+    random.shuffle(links)
+    got = graph.components(spark.createDataFrame(links, "a long, b long").repartition(3)).collect()
+    assert {r["node"]: r["comp"] for r in got} == brute(links) and len(tables) <= 3
+
+
+@pytest.mark.parametrize("held", [4, 40])
+def test_contracted_links_hold_the_same_together(monkeypatch, held):
+    monkeypatch.setattr(graph, "HELD", held)
+    random.seed(held)
+    links = [(random.randrange(80), random.randrange(80)) for _ in range(60)] + [(99, 99), (98, 98), (98, 98)]
+    batches = [graph.pa.RecordBatch.from_pydict({"a": [a], "b": [b]}) for a, b in links]
+    for both in (False, True):
+        rows = [tuple(r.values()) for batch in graph._contracted(both)(batches) for r in batch.to_pylist()]
+        assert brute(rows) == brute(links) and (not both or set(rows) == {(b, a) for a, b in rows})

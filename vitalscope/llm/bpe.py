@@ -41,7 +41,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ranges, units, with_id
+from .common import ranges, released, units, with_id
 
 BLOCK = 1 << 20
 KNOWN = 1 << 18
@@ -483,7 +483,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text:
     tokens = load_ranks(ranks)
     merges = Merges(tokens)
     blocks = with_id(docs, key, text).mapInArrow(
-        _prepared(tokens, pattern, merges.edges, merges.ends),
+        released(_prepared(tokens, pattern, merges.edges, merges.ends)),
         "ids array<long>, counts binary, index binary, sizes binary, parts binary, words array<string>, made array<array<int>>, restart boolean",
     )
     if merges.ordered:
@@ -492,4 +492,4 @@ def encode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text:
         words = RankMap(pair_ids(tokens)).fold(F.col("words"), [char(i) for i in range(len(tokens))])
     folded = blocks.withColumn("words", words).drop("made")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, ids array<int>, decoded binary"
-    return folded.mapInArrow(_gathered(tokens, not digests), schema)
+    return folded.mapInArrow(released(_gathered(tokens, not digests)), schema)

@@ -38,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Words, blocks, fresh, ranges, stored, window_hashes, with_id
+from .common import Words, blocks, fresh, ranges, released, stored, window_hashes, with_id
 
 ITEMS = 2048
 RANKS, EXTRA, POWER = (16, 128), 16, 2  # least and largest rank
@@ -205,7 +205,7 @@ def randomised_svd(rows: DataFrame, width: int, rank: int, basis: np.ndarray | N
     sketch = min(rank + EXTRA, width)
     basis = start_basis(width, rank) if basis is None else basis
     for _ in range(power + 1):
-        parts = rows.mapInArrow(_products(basis.astype(kind)), "start long, part binary")
+        parts = rows.mapInArrow(released(_products(basis.astype(kind))), "start long, part binary")
         # As many parts of WORDS rows as the matrix has partitions.
         summed = parts.groupBy("start").applyInArrow(_summed, "start long, part binary")
         product = np.zeros((width, sketch))
@@ -409,7 +409,7 @@ def matches(
         chosen = Items(*(list(c) for c in zip(*taken))) if taken else Items([], [], [])
         if not len(chosen.vocabulary):
             continue
-        facts = stored(rows.select("text").mapInArrow(_frequencies(chosen), "word long, n long, number array<int>, times array<int>"))
+        facts = stored(rows.select("text").mapInArrow(released(_frequencies(chosen)), "word long, n long, number array<int>, times array<int>"))
         frequency = np.zeros(len(chosen.vocabulary) + 1)
         for r in facts.filter("word >= 0").groupBy("word").agg(F.sum("n").alias("n")).collect():  # one number per word of the items
             frequency[r["word"]] = r["n"]
@@ -417,8 +417,8 @@ def matches(
         used = facts.filter("word = -1").select("number", "times")
         own = spark.createDataFrame([(n.tolist(), np.round(v / chosen.idf[n]).astype(int).tolist()) for n, v in chosen.vectors], used.schema)
         tasks = min(TASKS, 1 + int(frequency[-1]) // TASK_ROWS)
-        matrix = own.unionByName(used).coalesce(tasks).mapInArrow(_weighed(chosen.idf), "number array<int>, value array<double>")
-        found = rows.mapInArrow(_candidates(chosen, latent_space(chosen, matrix)), FOUND)
+        matrix = own.unionByName(used).coalesce(tasks).mapInArrow(released(_weighed(chosen.idf)), "number array<int>, value array<double>")
+        found = rows.mapInArrow(released(_candidates(chosen, latent_space(chosen, matrix))), FOUND)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], FOUND)
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from vitalscope.operators.skew import lookup_join
 from vitalscope.session import small_side
 
-from .common import Words, blocks, fresh, mix, stored, window_hashes, with_id
+from .common import Words, blocks, fresh, mix, released, stored, window_hashes, with_id
 from .graph import components
 
 RATIO = 1.5  # of the sizes of neighbouring bands
@@ -296,7 +296,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, share: int) -> DataFram
     wanted = tiled.select("f", "i", "j", F.explode(F.array("a", "b")).alias("node")).distinct()
     nodes = placed.select(F.col("node").alias("doc_id"))
     texts = docs.join(small_side(nodes, FEW_PAGES), "doc_id", "left_semi")
-    sets = texts.mapInArrow(_sets(k), "node long, set array<long>")
+    sets = texts.mapInArrow(released(_sets(k)), "node long, set array<long>")
     sent = wanted.join(sets, "node")
     keys = ("f", "i", "j")
     checked = tiled.groupBy(*keys).cogroup(sent.select(*[F.col(c).alias(c) for c in (*keys, "node", "set")]).groupBy(*keys))
@@ -306,7 +306,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, share: int) -> DataFram
 def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, share: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every row."""
     rows = with_id(docs, key, text)
-    signed = stored(rows.mapInArrow(_signed(k), "doc_id long, n long, d1 long, d2 long, point binary"))
+    signed = stored(rows.mapInArrow(released(_signed(k)), "doc_id long, n long, d1 long, d2 long, point binary"))
     taking_part = signed.filter("doc_id is not null and n > 0")
     classes = stored(taking_part.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("node"), F.first("point").alias("point")))
     # One row per document: which class it is in. Hot classes are served apart.
@@ -319,7 +319,7 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
 
     # Pages are made from the texts once more and shuffled as page and document alone: most have one
     # member and end there, so neither a table of all pages nor partial sums of them are written.
-    on_page = rows.filter("doc_id is not null").mapInArrow(_paged(k, share), "page long, doc_id long")
+    on_page = rows.filter("doc_id is not null").mapInArrow(released(_paged(k, share)), "page long, doc_id long")
     of_page = Window.partitionBy("page")
     spans = on_page.withColumn("low", F.min("doc_id").over(of_page)).withColumn("high", F.max("doc_id").over(of_page))
     shared = stored(spans.filter("high > low").select("page", "doc_id"))
@@ -339,7 +339,7 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     right = facts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("point").alias("pb"))
     left = facts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("point").alias("pa"))
     pointed = lookup_join(lookup_join(stars, right, "b", "inner"), left, "a", "inner").select("a", "b", "na", "nb", "pa", "pb")
-    possible = stored(pointed.mapInArrow(_bounded(share), "a long, b long").distinct())
+    possible = stored(pointed.mapInArrow(released(_bounded(share)), "a long, b long").distinct())
     links = stored(_verified(rows, possible, k, share))
     label = components(links)
 

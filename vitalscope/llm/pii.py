@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from vitalscope.operators.skew import lookup_join
 
-from .common import fresh, stored, with_id
+from .common import fresh, released, stored, with_id
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -175,7 +175,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Stored rows doc_id, key (hash of the text), n_<kind>, base, items for every row of ``docs``."""
     rows = with_id(docs, key, text).select("doc_id", F.xxhash64("text").alias("key"), "text")
     counts = ", ".join(f"n_{k} long" for k in KINDS)
-    return stored(rows.mapInArrow(_found, f"doc_id long, key long, {counts}, base string, items {_ITEM_SQL}"))
+    return stored(rows.mapInArrow(released(_found), f"doc_id long, key long, {counts}, base string, items {_ITEM_SQL}"))
 
 
 def accepted(items: DataFrame) -> DataFrame:
@@ -238,7 +238,7 @@ def extract(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key"))
     joined = found.drop("items").join(added, same, "left").select("doc_id", "key", *(f"n_{k}" for k in KINDS), "base", "added")
     counts = ", ".join(f"n_{k} long" for k in KINDS)
-    return joined.mapInArrow(_merged, f"doc_id long, {counts}, base_sha256 string, spans string, n_added long")
+    return joined.mapInArrow(released(_merged), f"doc_id long, {counts}, base_sha256 string, spans string, n_added long")
 
 
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -269,4 +269,4 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
             columns[position] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(released(run), docs.schema)

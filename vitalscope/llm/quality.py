@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from vitalscope.session import is_small
 
-from .common import Words, blocks, stored, window_hashes, with_id
+from .common import Words, blocks, released, stored, window_hashes, with_id
 from .toxicity import remainder, training_rows
 
 PART = 20_000
@@ -314,7 +314,7 @@ def _means(table: DataFrame, n: int) -> Means:
 
 def features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and the features of every row."""
-    return with_id(docs, key, text).mapInArrow(_measured, "doc_id long, f array<double>")
+    return with_id(docs, key, text).mapInArrow(released(_measured), "doc_id long, f array<double>")
 
 
 def fit(
@@ -351,9 +351,9 @@ def score(
     if isinstance(model, float):
         scored = rows.select("doc_id", F.lit(model).alias("score"))
     elif measured is not None:
-        scored = measured.mapInArrow(_scored(model), "doc_id long, score double")
+        scored = measured.mapInArrow(released(_scored(model)), "doc_id long, score double")
     else:
-        scored = rows.mapInArrow(_measured_and_scored(model), "doc_id long, score double")
+        scored = rows.mapInArrow(released(_measured_and_scored(model)), "doc_id long, score double")
     return scored.select(
         "doc_id", F.coalesce(remainder(F.col("doc_id"), modulus) == left_out, F.lit(False)).alias("held_out"),
         "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
@@ -374,4 +374,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     def run(batches):
         for rows, texts in _slices(batches, position):
             yield rows.filter(pa.array(model.score(measure(texts)) >= least))
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

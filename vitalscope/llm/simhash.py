@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, functions as F
 from vitalscope.operators.skew import lookup_join
 
 from .common import blocks, stored, with_id
-from .graph import components
+from .graph import components, forest
 
 SEED = 42
 PER_PIVOT = 20
@@ -87,23 +87,6 @@ def distances(fps: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fps[:, None] ^ pivots[None])
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """As few links as hold together what the links (a, b) hold together: each node and the least it reaches."""
-    nodes, both = np.unique(np.concatenate([a, b]), return_inverse=True)
-    a, b = both[:len(a)], both[len(a):]
-    label = np.arange(len(nodes))
-    while True:
-        new = label.copy()
-        np.minimum.at(new, a, label[b])
-        np.minimum.at(new, b, label[a])
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    other = label != np.arange(len(nodes))
-    return nodes[label[other]], nodes[other]
-
-
 def _tabled(pivots: np.ndarray, lead: np.ndarray, within: int):
     """Home cell and least distance of each fingerprint (link false), and links with pivots."""
     step = max(1, ENTRIES // len(pivots))

@@ -164,17 +164,6 @@ class BilingualPreprocessor:
             F.filter(tokens, lambda w: ~in_words(w, english)),
         )
 
-    def map_phrases(self, text: Column) -> tuple[Column, Column]:
-        """English for the phrases found, in rule order, and the text without them.
-
-        A phrase is looked for in what the phrases before it have left.
-        """
-        found, rest = [], text
-        for phrase, english in self.lexicon.phrases:
-            found.append(F.when(F.contains(rest, F.lit(phrase)), F.lit(english)))
-            rest = F.replace(rest, F.lit(phrase), F.lit(""))
-        return F.array_compact(F.array(*found)), rest
-
     def truncate(self, text: Column) -> Column:
         """The first words that matter, or the whole text when none does."""
         wanted = self.lexicon.priority + self.lexicon.english
